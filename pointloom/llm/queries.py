@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
+from .simhash import op9_simhash
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {}
