@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
+from .packing import op8_pack
 from .simhash import op9_simhash
+from .substring_dedup import op6_substring_dedup
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op8_pack": op8_pack,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}

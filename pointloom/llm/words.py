@@ -88,16 +88,17 @@ class Chunk:
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), self.counts)
 
-    def hashes(self, which: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word; 0 and 1 are independent functions."""
+    def hashes(self, which: int = 0, first: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first so many bytes; 0 and 1 are independent functions."""
         p = _BASES[which]
         n = len(self.data)
         up, down = p.to(n + 1)
         total = np.zeros(n + 1, dtype=U64)
         with np.errstate(over="ignore"):
             np.cumsum(p.table[self.data] * up[:n], out=total[1:])
-            h = (total[self.ends] - total[self.starts]) * down[self.starts]
-            return mix(h + (self.ends - self.starts).astype(U64))
+            ends = self.ends if first is None else np.minimum(self.ends, self.starts + first)
+            h = (total[ends] - total[self.starts]) * down[self.starts]
+            return mix(h + (ends - self.starts).astype(U64))
 
 
 def chunks(texts: pa.Array | pa.ChunkedArray, kind: np.ndarray, lower: bool = False, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
