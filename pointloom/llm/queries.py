@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from .chat import OP1_SQL, op1_chat
 from .decontaminate import op2_decontaminate
+from .language import op4_language
 from .packing import op8_pack
 from .simhash import op9_simhash
 from .substring_dedup import op6_substring_dedup
 from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_chat": op1_chat,
     "op2_decontaminate": op2_decontaminate,
+    "op4_language": op4_language,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_pack": op8_pack,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat": OP1_SQL,
+}
