@@ -6,6 +6,7 @@ from .chat import OP1_SQL, op1_chat
 from .decontaminate import op2_decontaminate
 from .language import op4_language
 from .packing import op8_pack
+from .pii import op5_pii
 from .simhash import op9_simhash
 from .substring_dedup import op6_substring_dedup
 from .toxicity import op10_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_chat": op1_chat,
     "op2_decontaminate": op2_decontaminate,
     "op4_language": op4_language,
+    "op5_pii": op5_pii,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_pack": op8_pack,
     "op9_simhash": op9_simhash,
