@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .chat import OP1_SQL, op1_chat
 from .decontaminate import op2_decontaminate
+from .embeddings import op7_embeddings
+from .html_extract import op3_html
 from .language import op4_language
 from .packing import op8_pack
 from .pii import op5_pii
@@ -14,9 +16,11 @@ from .toxicity import op10_toxicity
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_decontaminate": op2_decontaminate,
+    "op3_html": op3_html,
     "op4_language": op4_language,
     "op5_pii": op5_pii,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_embeddings": op7_embeddings,
     "op8_pack": op8_pack,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
