@@ -150,15 +150,17 @@ def score(docs: DataFrame, model: FactorizationMachine, keep: tuple[str, ...] =
     """Per row: doc_id, the columns ``keep``, score and predicted (1 if score >= 0.5)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = list(dict.fromkeys(["doc_id", *keep]))
+    source = names if "text" in names else [*names, "text"]
+    at = source.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = [shared.value.score(c) for c in chunks(batch.column(len(names)), ALNUM, lower=True)]
+            s = [shared.value.score(c) for c in chunks(batch.column(at), ALNUM, lower=True)]
             s = np.concatenate(s) if s else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*names, F.col("text").alias("_text")).mapInArrow(run, f"{fields}, score double, predicted int")
+    return docs.select(*source).mapInArrow(run, f"{fields}, score double, predicted int")
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
