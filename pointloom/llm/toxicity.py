@@ -4,7 +4,7 @@ Terms are the words of the whole text (ASCII lower-cased) and their openings of
 four and six bytes, each hashed; a feature says that a document has a term at
 least once, twice or three times.  From a
 bounded sample of labelled documents the terms that tell the classes apart
-best are kept, and a factorization machine learns their linear weights and, by
+best are kept, by counts that Spark takes, and a factorization machine learns their linear weights and, by
 latent vectors, their pairwise interactions (an insult together with a group
 mention).  Scoring is one narrow pass that looks terms up in a small table.
 
@@ -19,7 +19,6 @@ any label says so; repeated documents get equal scores.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialize
 from .words import ALNUM, U64, Chunk, chunks
 
 MAX_TRAIN, N_TERMS, FACTORS, EPOCHS = 12_000, 2048, 8, 24
@@ -87,25 +87,14 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
     @classmethod
-    def fit(cls, lists: pa.Array, y: np.ndarray, n_terms: int = N_TERMS, k: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> FactorizationMachine:
-        share = float(y.mean()) if len(y) else 0.0
+    def fit(cls, terms: np.ndarray, row: np.ndarray, place: np.ndarray, y: np.ndarray, k: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> FactorizationMachine:
+        """``terms``: features, sorted; (row, place): which rows have which of them; ``y``: labels."""
+        share = p = float(y.mean()) if len(y) else 0.0
         if share in (0.0, 1.0):
             return cls(np.zeros(0, dtype=np.int64), 35.0 if share else -35.0, np.zeros(0), np.zeros((0, k)))
-        term = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(len(y)), np.asarray(lists.value_lengths()).astype(np.int64))
-        kinds, code = np.unique(term, return_inverse=True)
-        total, toxic = np.bincount(code), np.bincount(code, y[row])
-        n, p = len(y), share
-        with np.errstate(divide="ignore", invalid="ignore"):
-            chi = (toxic - total * p) ** 2 / (total * p * (1 - p) * (1 - total / (n + 1)))
-        chi[total < 3] = 0
-        best = np.sort(np.argsort(-chi, kind="stable")[:n_terms])
-        best = best[chi[best] > 0]
-        place = np.full(len(kinds), -1)
-        place[best] = np.arange(len(best))
+        n, best = len(y), terms
         x = np.zeros((n, len(best)), dtype=np.uint8)
-        ok = place[code] >= 0
-        x[row[ok], place[code][ok]] = 1
+        x[row, place] = 1
         rng = np.random.default_rng(seed)
         params = [np.array([np.log(p / (1 - p))]), np.zeros(len(best)), rng.normal(0, 0.02, (len(best), k))]
         first, second = [np.zeros_like(a) for a in params], [np.zeros_like(a) for a in params]
@@ -126,24 +115,40 @@ class FactorizationMachine:
                     m1 += 0.1 * (gr - m1)
                     m2 += 0.01 * (gr**2 - m2)
                     q -= 0.02 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-        return cls(kinds[best], float(params[0][0]), params[1], params[2])
+        return cls(best, float(params[0][0]), params[1], params[2])
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, max_train: int = MAX_TRAIN, **fit) -> FactorizationMachine:
+def select_terms(lists: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+    """The features that tell the classes apart best by chi-square (at most n_terms reach the driver), sorted; and the rows."""
+    n, positive = lists.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    p = positive / n if n else 0.0
+    if p in (0.0, 1.0):
+        return np.zeros(0, dtype=np.int64), n
+    seen = lists.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).filter("n >= 3")
+    gap = F.col("k") - F.col("n") * p
+    chi = gap * gap / (F.col("n") * p * (1 - p) * (1 - F.col("n") / (n + 1)))
+    return np.sort(np.array([r.term for r in seen.orderBy(chi.desc(), "term").limit(n_terms).collect()], dtype=np.int64)), n
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, max_train: int = MAX_TRAIN, n_terms: int = N_TERMS, **fit) -> FactorizationMachine:
     """Fit on at most about ``max_train`` labelled documents outside the held-out fold."""
-    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(fold(F.col("doc_id"), folds) != held_out)
+    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(fold(F.col("doc_id"), folds) != held_out)
     share = min(1.0, max_train / max(1, known.count()))
     # at most about max_train rows: small enough to send to every executor
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    table = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").mapInArrow(_sparse, "terms array<int>, toxic int").toArrow()
-    order = np.lexsort([np.asarray(table["toxic"].combine_chunks().to_numpy(zero_copy_only=False)), _signature(table["terms"])])
-    table = table.take(pa.array(order))
-    return FactorizationMachine.fit(table["terms"].combine_chunks(), table["toxic"].to_numpy().astype(np.float64), **fit)
+    lists = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").mapInArrow(_sparse, "terms array<int>, toxic int"), "terms")
+    best, n = select_terms(lists, n_terms)
 
-
-def _signature(lists: pa.ChunkedArray) -> np.ndarray:
-    """A value of each term set, to put the sample in an order that does not depend on tasks."""
-    return np.array([zlib.crc32(np.asarray(v.values).tobytes()) if len(v) else 0 for v in lists.combine_chunks()], dtype=np.int64)
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.flatnonzero(np.isin(best, np.asarray(v.values))).astype("<i4").tobytes() for v in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), batch.column(1)], ["places", "toxic"])
+
+    # in an order that does not depend on tasks; a row is its features among n_terms
+    rows = sorted((bytes(r.places), r.toxic) for r in lists.mapInArrow(keep, "places binary, toxic int").toLocalIterator())
+    places = [np.frombuffer(b, dtype="<i4") for b, _ in rows]
+    row = np.repeat(np.arange(len(rows)), [len(v) for v in places])
+    return FactorizationMachine.fit(best, row, np.concatenate([np.zeros(0, dtype=np.int32), *places]), np.array([t for _, t in rows], dtype=np.float64), **fit)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, keep: tuple[str, ...] = ()) -> DataFrame:
