@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .scratch import materialize
 from .words import ALNUM, U64, chunks, covered, runs
@@ -170,13 +171,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep:
             block_obj.rank(_frequencies(docs, counted))
         block = spark.sparkContext.broadcast(block_obj)
         last = b == blocks - 1
-        out = out.mapInArrow(_search(block, names, b > 0, not last or "text" in keep), state if not last or "text" in keep else T.StructType([f for f in state if f.name != "text"]))
+        out = out.mapInArrow(_search(block, names, b > 0, not last or "text" in keep, pa.list_(to_arrow_type(item_type))), state if not last or "text" in keep else T.StructType([f for f in state if f.name != "text"]))
         if not last:
             out = materialize(out, "decontaminate")
     return out
 
 
-def _search(block, names: list[str], again: bool, with_text: bool):
+def _search(block, names: list[str], again: bool, with_text: bool, item_lists: pa.DataType):
     """One pass: add the matches of a block to what earlier passes found."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,17 +215,12 @@ def _search(block, names: list[str], again: bool, with_text: bool):
                     items.append(sorted(got, key=str))
             cols = [batch.column(batch.schema.get_field_index(x)) for x in names if x != "text" or with_text]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            cols += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, _items_type(items)), pa.array(spans, kind)]
+            cols += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, item_lists), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays(cols, [x for x in names if x != "text" or with_text] + ["n_words", "n_hit", "items", "spans"])
 
     return search
 
 
-def _items_type(items: list[list]) -> pa.DataType:
-    some = next((x for row in items for x in row), 0)
-    return pa.list_(pa.string() if isinstance(some, str) else pa.int64())
-
-
 def contamination_digest(found: DataFrame) -> DataFrame:
     """The per-document digest of :func:`find_contamination`."""
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))

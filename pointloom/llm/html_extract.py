@@ -144,11 +144,16 @@ class _Reader:
 
 
 def extract(page: str | None, main: str | None) -> str:
-    """The main text of one page, given its host's main element."""
+    """The main text of one page, given its host's main element.
+
+    The host's element counts only where it holds most of the text outside
+    page furniture; otherwise the page's own article or main element does.
+    """
     blocks = _Reader(main).read(page or "")
+    whole = sum(len(t) for t, _ in blocks)
     for bit in (8, 4, 2, 0):
         own = [t for t, r in blocks if r & bit or not bit]
-        if own:
+        if own and (bit != 8 or sum(map(len, own)) >= 0.6 * whole):
             return " ".join(own)
     return ""
 

@@ -42,7 +42,9 @@ TOKEN = r"(?<![^\s\"'<>()\[\]{},;])[^\s\"'<>()\[\]{},;0-9]*+[0-9][^\s\"'<>()\[\]
 SEED_FORMATS = (r"^AKIA[0-9A-Z]{16}$",)
 #: Cues trusted from the start, beside what the seeds induce.
 SEED_CUES = ("k<password=", "k<token=", "k<secret=", "2<token =")
-_BLOCK = 64
+_BLOCK = 512
+#: Code points in a piece of text when spans are masked, and pieces looked up together.
+_PIECE, _PIECES = 256, 64
 
 
 def _digits(x: Column) -> Column:
@@ -76,30 +78,40 @@ def _checked(kind: str) -> Column:
 
 
 def with_matches(df: DataFrame, name: str, pattern: str, trigger: Column, text: str = "text") -> DataFrame:
-    """Add ``name``: array of (start, end, value) of the pattern's matches, in code points.
+    """Add ``name``: array of (start, end, value, left, right) of the pattern's matches, in code points.
 
-    Positions are prefix sums of the gaps that ``split`` leaves, taken in blocks.
+    Positions are prefix sums of the gaps that ``split`` leaves, taken in
+    blocks; left and right are the text of the gaps next to the match.
     """
     none = F.array().cast("array<string>")
     m, g, s, b = (f"_{name}_{x}" for x in "mgsb")
     df = df.withColumn(m, F.when(trigger, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
-    df = df.withColumn(g, F.when(F.size(m) > 0, F.transform(F.split(text, pattern, -1), F.length)))
-    df = df.withColumn(s, F.transform(m, lambda x, i: F.get(g, i) + F.length(x)))
+    df = df.withColumn(g, F.when(F.size(m) > 0, F.split(text, pattern, -1)))
+    df = df.withColumn(s, F.transform(m, lambda x, i: F.length(F.get(g, i)) + F.length(x)))
     total = lambda a: F.aggregate(a, F.lit(0), lambda t, x: t + x)
     df = df.withColumn(b, F.when(F.size(m) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / _BLOCK).cast("int")), lambda k: total(F.slice(s, k * _BLOCK + 1, F.lit(_BLOCK))))))
 
     def place(x: Column, i: Column) -> Column:
         block = F.floor(i / _BLOCK).cast("int")
-        before = total(F.slice(b, F.lit(1), block)) + total(F.slice(s, block * _BLOCK + 1, i % _BLOCK)) + F.get(g, i)
-        return F.struct(before.alias("start"), (before + F.length(x)).alias("end"), x.alias("value"))
+        before = total(F.slice(b, F.lit(1), block)) + total(F.slice(s, block * _BLOCK + 1, i % _BLOCK)) + F.length(F.get(g, i))
+        left, right = F.substring(F.get(g, i), -60, 60), F.substring(F.get(g, i + 1), 1, 40)
+        return F.struct(before.alias("start"), x.alias("value"), left.alias("left"), right.alias("right"))
 
-    return df.withColumn(name, F.transform(m, place)).drop(m, g, s, b)
+    ends = lambda x: F.struct(x["start"], (x["start"] + F.length(x["value"])).alias("end"), x["value"], x["left"], x["right"])
+    return df.withColumn(name, F.transform(F.transform(m, place), ends)).drop(m, g, s, b)
 
 
-def _cues(text: Column, start: Column, end: Column) -> Column:
-    """Lexical patterns around a span: two words before it, and the words on both sides."""
-    left = F.lower(F.substring(text, F.greatest(start - 59, F.lit(1)), F.least(start, F.lit(60))))
-    right = F.lower(F.substring(text, end + 1, F.lit(40)))
+def _blanked(kind: str, text: str) -> Column:
+    """The text with the valid matches of a base kind turned into spaces, as long as they were."""
+    pattern = PATTERNS[kind]
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    blank = F.transform(F.concat(found, F.array(F.lit(""))), lambda x: F.when((x != "") & _valid(kind, x), F.repeat(F.lit(" "), F.length(x))).otherwise(x))
+    return F.array_join(F.zip_with(gaps, blank, lambda a, b: F.concat(a, b)), "")
+
+
+def _cues(x: Column) -> Column:
+    """Lexical patterns around a match: two words before it, and the words on both sides."""
+    left, right = F.lower(x["left"]), F.lower(x["right"])
     two = F.regexp_extract(left, r"(\S+\s+\S+[\s\"'(\[{<]*)$", 1)
     one = F.regexp_extract(left, r"(\S+[\s\"'(\[{<]*)$", 1)
     after = F.regexp_extract(right, r"^(\S*\s*\S+)", 1)
@@ -114,7 +126,7 @@ def _cues(text: Column, start: Column, end: Column) -> Column:
 
 
 def mentions(docs: DataFrame, seed_formats: tuple[str, ...] = SEED_FORMATS) -> DataFrame:
-    """Per row: doc_id, text_hash, one array of (start, end, value) per base kind, and marks: seeds and candidates with cues."""
+    """Per row: doc_id, text_hash, one array of (start, end) per base kind, and marks: seeds and candidates with cues."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     digit = F.col("text").rlike("[0-9]")
     df = df.withColumn("_digit", digit)
@@ -122,23 +134,27 @@ def mentions(docs: DataFrame, seed_formats: tuple[str, ...] = SEED_FORMATS) -> D
     for kind in KINDS:
         df = with_matches(df, kind, PATTERNS[kind], triggers[kind])
         df = df.withColumn(kind, _checked(kind))
-    df = with_matches(df, "token", TOKEN, F.col("_digit"))
-    # key=value: the key is a cue, the value the identifier; marks at the end belong to the sentence
-    key = lambda x: F.regexp_extract(x["value"], r"^([A-Za-z_][A-Za-z_.-]*[=:])[^=:]", 1)
-    bare = lambda x: F.regexp_extract(x["value"], r"^(?:[A-Za-z_][A-Za-z_.-]*[=:](?=[^=:]))?(.*?)[^A-Za-z0-9]*$", 1)
-    cut = F.transform("token", lambda x: F.struct((x["start"] + F.length(key(x))).alias("start"), bare(x).alias("value"), key(x).alias("key")))
-    df = df.withColumn("token", F.transform(cut, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value"), x["key"].alias("key"))))
     df = df.withColumn("_base", F.concat(*KINDS))
-    apart = lambda x: ~F.exists("_base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    looks = lambda x: (F.length(x["value"]) >= 6) & x["value"].rlike("[0-9]")
-    free = F.filter("token", lambda x: looks(x) & apart(x))
+    # candidates come from the text without base spans, so they never overlap one
+    df = df.withColumn("_free", F.when(F.col("_digit"), F.col("text")).otherwise(""))
+    for kind in KINDS:
+        df = df.withColumn("_free", F.when(F.size(kind) > 0, _blanked(kind, "_free")).otherwise(F.col("_free")))
+    df = with_matches(df, "token", TOKEN, F.col("_digit"), "_free")
+    # key=value: the key is a cue, the value the identifier; marks at the end belong to the sentence
+    parts = r"^([A-Za-z_][A-Za-z_.-]*[=:](?=[^=:]))?(.*?)[^A-Za-z0-9]*$"
+    split = lambda x: F.struct(F.regexp_extract(x["value"], parts, 1).alias("key"), F.regexp_extract(x["value"], parts, 2).alias("value"), x["start"], x["left"], x["right"])
+    df = df.withColumn("token", F.filter(F.transform("token", split), lambda x: (F.length(x["value"]) >= 6) & x["value"].rlike("[0-9]")))
     seed = lambda v: F.lit(False) if not seed_formats else v.rlike("|".join(f"(?:{f})" for f in seed_formats))
-    own = F.transform("_base", lambda x: F.struct(x["start"], x["end"], x["value"], F.lit(True).alias("base"), F.lit(True).alias("seed"), _cues(F.col("text"), x["start"], x["end"]).alias("cues")))
-    other = F.transform(free, lambda x: F.struct(
-        x["start"], x["end"], x["value"], F.lit(False).alias("base"), seed(x["value"]).alias("seed"),
-        F.when(x["key"] != "", F.array(F.concat(F.lit("k<"), F.lower(x["key"])))).otherwise(_cues(F.col("text"), x["start"], x["end"])).alias("cues"),
-    ))
-    return df.select("doc_id", F.xxhash64("text").alias("text_hash"), *KINDS, F.concat(own, other).alias("marks"))
+    own = F.transform("_base", lambda x: F.struct(x["start"], x["end"], x["value"], F.lit(True).alias("base"), F.lit(True).alias("seed"), _cues(x).alias("cues")))
+
+    def candidate(x: Column) -> Column:
+        start = x["start"] + F.length(x["key"])
+        cues = F.when(x["key"] != "", F.array(F.concat(F.lit("k<"), F.lower(x["key"])))).otherwise(_cues(x))
+        return F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"], F.lit(False).alias("base"), seed(x["value"]).alias("seed"), cues.alias("cues"))
+
+    df = df.withColumn("_own", own).withColumn("_other", F.transform("token", candidate))
+    short = lambda k: F.transform(k, lambda x: F.struct(x["start"], x["end"]))
+    return df.select("doc_id", F.xxhash64("text").alias("text_hash"), *[short(k).alias(k) for k in KINDS], F.concat("_own", "_other").alias("marks"))
 
 
 def trusted_cues(found: DataFrame, rounds: int = 3, least: float = 0.5, support: int = 3, seed_cues: tuple[str, ...] = SEED_CUES) -> DataFrame:
@@ -183,21 +199,31 @@ def span_text(spans: str) -> Column:
 
 
 def mask(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``found`` replaced by its kind in brackets; n_chars follows the text."""
+    """``docs`` with every span of ``found`` replaced by its kind in brackets; other columns stay."""
     keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     marks = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash2"), "spans").dropDuplicates(["_id", "_hash2"])
     both = keyed.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_hash2")), "left")
     both = both.withColumn("_s", F.array_sort(F.transform("spans", lambda x: F.struct(x["start"], x["end"], x["kind"]))))
-    reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice("_s", F.lit(1), i), lambda y: y["end"])), F.lit(0))
-
-    def piece(x: Column, i: Column) -> Column:
-        at = reach(i)
-        return F.when(x["start"] >= at, F.concat(F.substring("text", (at + 1).cast("int"), (x["start"] - at).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
-
-    whole = F.concat(F.array_join(F.transform("_s", piece), ""), F.substring("text", (reach(F.size("_s")) + 1).cast("int"), F.length("text")))
-    text = F.when(F.col("_s").isNull(), F.col("text")).otherwise(whole)
-    out = both.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    both = both.withColumn("_b", F.when(F.col("_s").isNotNull(), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))))
+    touching = lambda spans, a, b: F.filter(spans, lambda x: (x["end"] > a) & (x["start"] < b))
+
+    def piece(b: Column, at: Column, s: Column) -> Column:
+        """A piece of text that starts at ``at``, with the spans ``s`` that touch it masked."""
+        reach = lambda i: F.greatest(at, F.coalesce(F.array_max(F.transform(F.slice(s, F.lit(1), i), lambda y: y["end"])), at))
+        cut = lambda a, z: F.substring(b, (a - at + 1).cast("int"), F.greatest(z - a, F.lit(0)).cast("int"))
+        tag = lambda x, i: F.when((x["start"] >= at) & (x["start"] >= reach(i)), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
+        return F.concat(F.array_join(F.transform(s, lambda x, i: F.concat(cut(reach(i), x["start"]), tag(x, i))), ""), cut(reach(F.size(s)), at + F.length(b)))
+
+    def stretch(k: Column) -> Column:
+        wide = _PIECE * _PIECES
+        own = lambda spans: F.array_join(
+            F.transform(F.slice("_b", k * _PIECES + 1, F.lit(_PIECES)), lambda b, j: F.element_at(F.transform(F.array(touching(spans, k * wide + j * _PIECE, k * wide + (j + 1) * _PIECE)), lambda s: piece(b, k * wide + j * _PIECE, s)), 1)), ""
+        )
+        return F.element_at(F.transform(F.array(touching(F.col("_s"), k * wide, (k + 1) * wide)), own), 1)
+
+    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size("_b") - 1) / _PIECES).cast("int")), stretch), "")
+    text = F.when(F.col("_s").isNull() | (F.size("_b") == 0), F.col("text")).otherwise(whole)
+    return both.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
