@@ -2,8 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``.  All but the last
-return the columns they were given.  A document without an id cannot be named
-in another's result: it is judged like any other, but stays in near-dedup.
+return the columns they were given; those beside id and text travel in one
+struct, so their names cannot clash with an operator's.  A document without an
+id cannot be named in another's result: near-dedup keeps it.
 """
 
 from __future__ import annotations
@@ -19,35 +20,53 @@ from pointloom.llm.simhash import near_duplicates
 from pointloom.llm.toxicity import score, train
 
 
+REST = "_rest"
+
+
+def folded(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the other columns as one struct."""
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(None).cast("int")).alias(REST))
+
+
+def unfolded(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """``out`` with the columns of ``docs``."""
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col(REST).getField(c).alias(c) for c in docs.columns])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine predicts as toxic go."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, keep=tuple(docs.columns)).filter("predicted = 0").select(*docs.columns)
+    rows = folded(docs)
+    model = train(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return unfolded(score(rows, model, keep=("text", REST)).filter("predicted = 0"), docs)
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    found = materialize(near_duplicates(docs), "groups")
+    rows = folded(docs)
+    found = materialize(near_duplicates(rows), "groups")
     keepers = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     if keepers.filter("_rows > 1").isEmpty():
-        kept = docs.join(keepers.drop("_rows"), "doc_id", "left_semi")
+        kept = rows.join(keepers.drop("_rows"), "doc_id", "left_semi")
     else:  # rows that repeat an id and a text count as one document
-        marked = docs.join(keepers, "doc_id").withColumn("_hash", F.xxhash64("text"))
+        marked = rows.join(keepers, "doc_id").withColumn("_hash", F.xxhash64("text"))
         once = marked.filter("_rows > 1").dropDuplicates(["doc_id", "_hash"])
-        kept = marked.filter("_rows = 1").unionByName(once).select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id is null"))
+        kept = marked.filter("_rows = 1").unionByName(once).select("doc_id", "text", REST)
+    return unfolded(kept.unionByName(rows.filter("doc_id is null")), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark phrase go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = find_contamination(docs, benchmark, keep=tuple(docs.columns))
-    return found.filter("n_hit = 0").select(*docs.columns)
+    found = find_contamination(folded(docs), benchmark, keep=("text", REST))
+    return unfolded(found.filter("n_hit = 0"), docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are replaced by their kind."""
-    return mask(docs, find_pii(docs))
+    """Personal data are replaced by their kind; n_chars follows the text."""
+    rows = folded(docs)
+    out = unfolded(mask(rows, find_pii(rows)), docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
