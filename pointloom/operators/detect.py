@@ -58,6 +58,14 @@ def inliers(planes: np.ndarray, xyz: np.ndarray, threshold: float) -> np.ndarray
     return np.abs(out, out=out) < f4(threshold)
 
 
+def count_inliers(planes: np.ndarray, xyz: np.ndarray, threshold: float) -> np.ndarray:
+    """Voxels on each plane, a block of voxels at a time."""
+    total = np.zeros(len(planes), dtype=np.int64)
+    for a in range(0, len(xyz), _BLOCK):
+        total += np.count_nonzero(inliers(planes, xyz[a : a + _BLOCK], threshold), axis=1)
+    return total
+
+
 def best_plane_arrays(xyz: np.ndarray, seed: int, p: PipelineParams) -> tuple[int, int, np.ndarray | None, np.ndarray]:
     """(hypothesis, score, plane, ground flags); (-1, -1, None, no ground) without a valid plane."""
     ground = np.zeros(len(xyz), dtype=bool)
@@ -67,9 +75,7 @@ def best_plane_arrays(xyz: np.ndarray, seed: int, p: PipelineParams) -> tuple[in
     valid = np.flatnonzero(~np.isnan(planes[:, 0]))
     if not len(valid):
         return -1, -1, None, ground
-    total = np.zeros(len(valid), dtype=np.int64)
-    for a in range(0, len(xyz), _BLOCK):
-        total += np.count_nonzero(inliers(planes[valid], xyz[a : a + _BLOCK], p.ransac_thresh), axis=1)
+    total = count_inliers(planes[valid], xyz, p.ransac_thresh)
     k = int(total.argmax())
     best = planes[valid[k]]
     return int(valid[k]), int(total[k]), best, inliers(best[None, :], xyz, p.ransac_thresh)[0]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import is_inlier, plane3
 from ..functions.sequences import random_sequence
 from ..params import PipelineParams
+from .detect import count_inliers
 from .voxel import voxel_rank
 
 PLANE = "struct<a:float,b:float,c:float,d:float>"
@@ -34,11 +37,18 @@ def plane_fit(ranked: DataFrame, hyps: DataFrame, p: PipelineParams) -> DataFram
 def plane_scores(voxels: DataFrame, planes: DataFrame, hyps: DataFrame, p: PipelineParams) -> DataFrame:
     """(scan_id, hyp, score): inliers of each hypothesis, -1 where its plane is invalid.
 
-    The pairs of a scan's voxels and planes are counted as they are made; the
-    aggregate combines before the shuffle.
+    Voxels and planes of a scan meet in one task (both bounded by the grid and
+    the number of hypotheses) and are compared as single-precision arrays, so
+    their pairs never become rows.
     """
-    hit = is_inlier(F.col("plane"), F.col("x"), F.col("y"), F.col("z"), p.ransac_thresh)
-    counted = voxels.select("scan_id", "x", "y", "z").join(planes, "scan_id").groupBy("scan_id", "hyp").agg(F.count_if(hit).cast("int").alias("score"))
+
+    def one(key: tuple, v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        xyz, abcd = v[["x", "y", "z"]].to_numpy(dtype=np.float32), q[["a", "b", "c", "d"]].to_numpy(dtype=np.float32)
+        return pd.DataFrame({"scan_id": key[0], "hyp": q["hyp"].to_numpy(), "score": count_inliers(abcd, xyz, p.ransac_thresh).astype(np.int32)})
+
+    flat = planes.select(F.col("scan_id").alias("sid"), "hyp", *[F.col(f"plane.{c}").alias(c) for c in "abcd"])
+    pairs = voxels.select("scan_id", "x", "y", "z").groupBy("scan_id").cogroup(flat.groupBy("sid"))
+    counted = pairs.applyInPandas(one, "scan_id long, hyp int, score int")
     every = hyps.select("scan_id", "hyp").distinct()
     return every.join(counted, ["scan_id", "hyp"], "left").select("scan_id", "hyp", F.coalesce("score", F.lit(-1)).alias("score"))
 
