@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from .chat import OP1_SQL, op1_chat
-from .decontaminate import op2_decontaminate
+from .decontaminate import OP2_SQL, op2_decontaminate
 from .embeddings import op7_embeddings
 from .html_extract import op3_html
 from .language import op4_language
 from .packing import op8_pack
 from .pii import op5_pii
 from .simhash import op9_simhash
-from .substring_dedup import op6_substring_dedup
+from .substring_dedup import OP6_SQL, op6_substring_dedup
 from .toxicity import op10_toxicity
 
 QUERIES = {
@@ -27,4 +27,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_chat": OP1_SQL,
+    "op2_decontaminate": OP2_SQL,
+    "op6_substring_dedup": OP6_SQL,
 }
