@@ -74,12 +74,39 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def propagate_labels(occ: DataFrame, p: PipelineParams, every: int = 1, max_rounds: int = 4096) -> tuple[DataFrame, DataFrame]:
+def spread(occupied: np.ndarray, gw: int, gh: int) -> tuple[np.ndarray, int]:
+    """Labels by synchronous propagation, and the rounds up to the first that changes nothing."""
+    grid = np.full((gh + 2, gw + 2), gw * gh, dtype=np.int64)
+    y, x = occupied // gw + 1, occupied % gw + 1
+    lab, rounds = occupied.astype(np.int64), 0
+    while True:
+        grid[y, x] = lab
+        low = np.minimum.reduce([grid[y + dy, x + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+        rounds += 1
+        if (low == lab).all():
+            return lab, rounds
+        lab = low
+
+
+def propagate_labels(occ: DataFrame, p: PipelineParams, every: int = 1) -> tuple[DataFrame, DataFrame]:
     """Synchronous label propagation; returns labels and (scan_id, prop_iters).
 
     A scan's rounds are counted until one changes nothing, rounded up to a
-    multiple of ``every``; an empty grid takes ``every`` rounds.
+    multiple of ``every``.  One task per scan holds at most gw * gh cells.
     """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells = np.sort(pdf["cell"].to_numpy()).astype(np.int64)
+        lab, rounds = spread(cells, p.gw, p.gh)
+        return pd.DataFrame({"scan_id": pdf["scan_id"].iloc[0], "cell": cells.astype(np.int32), "label": lab.astype(np.int32), "prop_iters": -(-rounds // every) * every})
+
+    out = occ.groupBy("scan_id").applyInPandas(one, "scan_id long, cell int, label int, prop_iters int")
+    return out.select("scan_id", "cell", "label"), out.groupBy("scan_id").agg(F.max("prop_iters").alias("prop_iters"))
+
+
+def propagate_by_joins(occ: DataFrame, p: PipelineParams, every: int = 1, max_rounds: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """``propagate_labels`` with DataFrame operations, one join and aggregate per round; raises after ``max_rounds``."""
+    occ = _kept(occ, "occ")
     edges = _kept(neighbours(occ, p), "edges")
     now = occ.select("scan_id", "cell", F.col("cell").alias("label"), F.lit(0).alias("moved"))
     for k in range(1, max_rounds + 1):
@@ -94,6 +121,7 @@ def propagate_labels(occ: DataFrame, p: PipelineParams, every: int = 1, max_roun
 
 def hooked_components(occ: DataFrame, p: PipelineParams) -> DataFrame:
     """The components with DataFrame operations alone: hook roots to smaller neighbours, then follow pointers."""
+    occ = _kept(occ, "occ")
     edges = _kept(neighbours(occ, p), "edges")
     now = occ.select("scan_id", "cell", F.col("cell").alias("label"))
     while True:

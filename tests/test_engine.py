@@ -132,13 +132,15 @@ def test_components(spark):
     assert as_map(grid.connected_cells(occ, small)) == want
     assert as_map(grid.hooked_components(occ, small)) == want
     short = cells(spark, *(parts[:3] + parts[4:]))
-    labels, rounds = grid.propagate_labels(short, small)
-    assert as_map(labels) == {(s if s < 4 else 3, c): v for (s, c), v in want.items() if s != 3}
-    assert {r.scan_id: r.prop_iters for r in rounds.collect()} == {0: 1, 1: 3, 2: 3, 3: 1}
-    _, rounds = grid.propagate_labels(short, small, every=16)
-    assert {r.prop_iters for r in rounds.collect()} == {16}
+    for propagate in (grid.propagate_labels, grid.propagate_by_joins):
+        labels, rounds = propagate(short, small)
+        assert as_map(labels) == {(s if s < 4 else 3, c): v for (s, c), v in want.items() if s != 3}
+        assert {r.scan_id: r.prop_iters for r in rounds.collect()} == {0: 1, 1: 3, 2: 3, 3: 1}
+        _, rounds = propagate(short, small, every=16)
+        assert {r.prop_iters for r in rounds.collect()} == {16}
+    assert as_map(grid.propagate_labels(occ, small)[0]) == want
     with pytest.raises(RuntimeError):
-        grid.propagate_labels(occ, small, max_rounds=2)
+        grid.propagate_by_joins(occ, small, max_rounds=2)
     sizes = grid.component_sizes(grid.connected_cells(occ, small))
     counts = {r.scan_id: (r.n_clusters, r.n_small) for r in grid.cluster_counts(scans_of(spark, 6), sizes, small).collect()}
     assert counts == {0: (0, 2), 1: (1, 0), 2: (1, 0), 3: (1, 0), 4: (0, 1), 5: (0, 0)}
