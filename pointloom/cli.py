@@ -12,7 +12,7 @@ from .operators.report import in_report_order, input_scale, latency_summary, val
 from .operators.validate import compare, occupancy_diff
 from .params import PipelineParams
 from .plans import pipeline
-from .sources.scans import pack_points, pick_scans, read_frames, read_scans, unpack_points
+from .sources.scans import list_scans, pack_points, pick_scans, read_frames, read_scans, scan_contents, unpack_points
 from .sources.tables import TIMING, VALIDATION, export_frames, read_csv, write_csv, write_frames, write_golden
 
 P = PipelineParams()
@@ -107,7 +107,7 @@ def main(argv: list[str] | None = None) -> None:
     a = top.parse_args(argv)
     spark = SparkSession.builder.appName("pointloom").getOrCreate()
     if a.command == "summary":
-        pipeline.summary(read_scans(spark, a.folder, a.max_scans), P).write.parquet(a.out)
+        pipeline.summary_of_scans(scan_contents(spark, a.folder, list_scans(spark, a.folder, a.max_scans)), P).write.parquet(a.out)
     elif a.command == "label":
         pipeline.label_points(read_scans(spark, a.folder, a.max_scans), P).write.partitionBy("scan_id").parquet(a.out)
     elif a.command == "bench":

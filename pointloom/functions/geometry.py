@@ -35,10 +35,15 @@ def _index(c: Column, lo: float, edge: float) -> Column:
     return F.floor(f32((c - lit32(lo)) / lit32(edge)))
 
 
+def voxel_number(x: Column, y: Column, z: Column, p: PipelineParams) -> Column:
+    """Voxel number of a point known to be inside the region."""
+    ix, iy, iz = (F.least(_index(c, lo, p.voxel), F.lit(n - 1)) for c, lo, n in ((x, p.xmin, p.nx), (y, p.ymin, p.ny), (z, p.zmin, p.nz)))
+    return (iz * p.ny + iy) * p.nx + ix
+
+
 def voxel_key(x: Column, y: Column, z: Column, p: PipelineParams) -> Column:
     """Voxel number of a point inside the region (null outside)."""
-    ix, iy, iz = (F.least(_index(c, lo, p.voxel), F.lit(n - 1)) for c, lo, n in ((x, p.xmin, p.nx), (y, p.ymin, p.ny), (z, p.zmin, p.nz)))
-    return F.when(in_roi(x, y, z, p), (iz * p.ny + iy) * p.nx + ix)
+    return F.when(in_roi(x, y, z, p), voxel_number(x, y, z, p))
 
 
 def bev_cell(x: Column, y: Column, p: PipelineParams) -> Column:

@@ -21,6 +21,8 @@ from .grid import label_grid
 
 SUMMARY = "scan_id long, n_voxels long, best_hyp int, best_score int, n_ground int, n_cells int, n_clusters int, n_small int"
 _BLOCK = 8192
+#: Voxels of one plane's pass: three columns and two buffers stay in cache.
+_RUN = 16384
 f4 = np.float32
 
 
@@ -66,6 +68,35 @@ def count_inliers(planes: np.ndarray, xyz: np.ndarray, threshold: float) -> np.n
     return total
 
 
+def most_inliers(planes: np.ndarray, xyz: np.ndarray, threshold: float) -> tuple[int, int]:
+    """(first plane with most voxels on it, how many).
+
+    One plane after the other over blocks that stay in cache; a plane is left
+    as soon as the voxels still to come cannot lift it above the best so far.
+    """
+    columns = np.ascontiguousarray(xyz.T)
+    blocks = [tuple(np.ascontiguousarray(c[a : a + _RUN]) for c in columns) for a in range(0, len(xyz), _RUN)]
+    out, term, near = np.empty(_RUN, np.float32), np.empty(_RUN, np.float32), np.empty(_RUN, bool)
+    best, most, limit = -1, -1, f4(threshold)
+    for k, (a, b, c, d) in enumerate(planes):
+        total, left = 0, len(xyz)
+        for x, y, z in blocks:
+            n = len(x)
+            v, w, m = out[:n], term[:n], near[:n]
+            np.multiply(x, a, out=v)
+            v += np.multiply(y, b, out=w)
+            v += np.multiply(z, c, out=w)
+            v += d
+            np.less(np.abs(v, out=v), limit, out=m)
+            total += np.count_nonzero(m)
+            left -= n
+            if total + left <= most:
+                break
+        if total > most:
+            best, most = k, total
+    return best, int(most)
+
+
 def best_plane_arrays(xyz: np.ndarray, seed: int, p: PipelineParams) -> tuple[int, int, np.ndarray | None, np.ndarray]:
     """(hypothesis, score, plane, ground flags); (-1, -1, None, no ground) without a valid plane."""
     ground = np.zeros(len(xyz), dtype=bool)
@@ -75,10 +106,9 @@ def best_plane_arrays(xyz: np.ndarray, seed: int, p: PipelineParams) -> tuple[in
     valid = np.flatnonzero(~np.isnan(planes[:, 0]))
     if not len(valid):
         return -1, -1, None, ground
-    total = count_inliers(planes[valid], xyz, p.ransac_thresh)
-    k = int(total.argmax())
+    k, score = most_inliers(planes[valid], xyz, p.ransac_thresh)
     best = planes[valid[k]]
-    return int(valid[k]), int(total[k]), best, inliers(best[None, :], xyz, p.ransac_thresh)[0]
+    return int(valid[k]), score, best, inliers(best[None, :], xyz, p.ransac_thresh)[0]
 
 
 def detect_arrays(xyz: np.ndarray, seed: int, p: PipelineParams) -> dict:

@@ -25,6 +25,8 @@ def label_grid(occupied: np.ndarray, gw: int, gh: int) -> np.ndarray:
     grid = np.full((gh + 2, gw + 2), big, dtype=np.int64)
     y, x = occupied // gw + 1, occupied % gw + 1
     lab = occupied.astype(np.int64)
+    place = np.zeros(big, dtype=np.int64)
+    place[occupied] = np.arange(len(occupied))
     while True:
         grid[y, x] = lab
         low = lab.copy()
@@ -32,10 +34,9 @@ def label_grid(occupied: np.ndarray, gw: int, gh: int) -> np.ndarray:
             for dx in (-1, 0, 1):
                 np.minimum(low, grid[y + dy, x + dx], out=low)
         # the root of a label takes the smaller label too, then everyone follows its root
-        at = np.searchsorted(occupied, lab)
         root = lab.copy()
-        np.minimum.at(root, at, low)
-        new = root[np.searchsorted(occupied, np.minimum(low, root))]
+        np.minimum.at(root, place[lab], low)
+        new = root[place[np.minimum(low, root)]]
         new = np.minimum(new, root)
         if (new == lab).all():
             return lab

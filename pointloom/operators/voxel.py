@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import f32, in_roi, voxel_key
+from ..functions.geometry import f32, in_roi, voxel_number
 from ..params import PipelineParams
 
 
@@ -20,7 +20,7 @@ def voxel_downsample(points: DataFrame, p: PipelineParams, mode: str = "fast") -
     once.  ``exact`` adds in single precision in the order of ``idx``: it
     gathers a voxel's points, so use it where bits must match a serial sum.
     """
-    keyed = roi_filter(points, p).select("scan_id", "idx", "x", "y", "z", voxel_key(F.col("x"), F.col("y"), F.col("z"), p).alias("key"))
+    keyed = roi_filter(points, p).select("scan_id", "idx", "x", "y", "z", voxel_number(F.col("x"), F.col("y"), F.col("z"), p).alias("key"))
     if mode == "fast":
         means = [F.avg(F.col(c).cast("double")).cast("float").alias(c) for c in "xyz"]
         return keyed.groupBy("scan_id", "key").agg(F.count("*").alias("n"), *means)

@@ -13,6 +13,7 @@ from ..operators.grid import cluster_counts, component_sizes, connected_cells, h
 from ..operators.labels import point_labels, voxel_labels
 from ..operators.ransac import find_ground, ground_flag
 from ..operators.voxel import voxel_downsample
+from ..operators.whole import summarize
 from ..params import PipelineParams
 from ..sources.scans import seeds
 
@@ -89,6 +90,11 @@ def summary(points: DataFrame, p: PipelineParams | None = None, seed: DataFrame
     return detect(voxel_downsample(points, p), seeds(points, seed) if isinstance(seed, int) else seed, p)
 
 
+def summary_of_scans(scans: DataFrame, p: PipelineParams | None = None, seed: int = 1000, packed: bool = False) -> DataFrame:
+    """The path without a shuffle, for scans that are whole files (scan_id, content[, seed]); see ``operators.whole``."""
+    return summarize(scans, p or PipelineParams(), seed, packed)
+
+
 def label_voxels(points: DataFrame, p: PipelineParams | None = None, seed: int = 1000) -> DataFrame:
     p = p or PipelineParams()
     return detect_labels(voxel_downsample(points, p), seeds(points, seed), p)

@@ -49,6 +49,21 @@ def _contents(spark: SparkSession, folder: str, scans: DataFrame) -> DataFrame:
     return files.join(scans.select("path", "scan_id"), "path").select("scan_id", "content")
 
 
+def scan_contents(spark: SparkSession, folder: str, scans: DataFrame | None = None) -> DataFrame:
+    """(scan_id, content) of every ``.bin`` file, whole.
+
+    Without ``scans`` (scan_id, path) the number in the file's name is its
+    scan_id, and files go from the reader to the operator without a join; a
+    name without a number is an error.
+    """
+    if scans is not None:
+        return _contents(spark, folder, scans)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "?*.bin").load(folder)
+    number = F.regexp_extract("path", r"([0-9]+)\.bin$", 1)
+    known = F.when(number != "", number.cast("long")).otherwise(F.raise_error(F.concat(F.lit("no number in the name of "), "path")))
+    return files.select(known.alias("scan_id"), "content")
+
+
 def read_scans(spark: SparkSession, folder: str, max_scans: int = 0, scans: DataFrame | None = None) -> DataFrame:
     """Points of raw scans (four little-endian floats each)."""
     scans = list_scans(spark, folder, max_scans) if scans is None else scans
@@ -73,18 +88,20 @@ def unpack_points(packed: DataFrame, p: PipelineParams) -> DataFrame:
     return packed.select("scan_id", "idx", *xyz, F.lit(0.0).cast("float").alias("i"))
 
 
+# A point's coordinates follow from its number k alone.  They are computed once, below the aggregate: as
+# aggregates themselves they keep filters on coordinates from being rewritten into one huge predicate on the scan.
 FIXTURE_SQL = """
-SELECT scan_id, idx,
-       CAST(CAST(xc AS DOUBLE)/100 AS {F}) AS x, CAST(CAST(yc AS DOUBLE)/100 AS {F}) AS y,
-       CAST(CAST(zc AS DOUBLE)/100 AS {F}) AS z, CAST(qi AS {F}) AS i
-FROM (SELECT scan_id, k AS idx, qi,
+SELECT scan_id, k AS idx,
+       CAST(CAST(min(xc) AS DOUBLE)/100 AS {F}) AS x, CAST(CAST(min(yc) AS DOUBLE)/100 AS {F}) AS y,
+       CAST(CAST(min(zc) AS DOUBLE)/100 AS {F}) AS z, CAST(min(l_quantity) AS {F}) AS i
+FROM (SELECT k, scan_id, l_quantity,
         CASE WHEN o=1 THEN ((a % 11)*700 - 3500) + (a % 181) WHEN o=2 THEN (a % 6007) - 3003 ELSE (a % 8387) - 4193 END AS xc,
         CASE WHEN o=1 THEN ((b % 11)*700 - 3500) + (b % 173) WHEN o=2 THEN 1500 + (b % 37) ELSE (b % 8389) - 4194 END AS yc,
         CASE WHEN o>=1 THEN (c % 263) - 110 ELSE (c % 31) - 185 END AS zc
-      FROM (SELECT k, scan_id, qi, (k*48271) % 2147483647 AS a, (k*69621 + 7) % 2147483647 AS b, (k*16807 + 13) % 2147483647 AS c,
+      FROM (SELECT k, scan_id, l_quantity, (k*48271) % 2147483647 AS a, (k*69621 + 7) % 2147483647 AS b, (k*16807 + 13) % 2147483647 AS c,
                    CASE WHEN k % 10 < 2 THEN 1 WHEN k % 10 = 2 THEN 2 ELSE 0 END AS o
-            FROM (SELECT l_orderkey*8 + l_linenumber AS k, l_orderkey % 4 AS scan_id, min(l_quantity) AS qi
-                  FROM {lineitem} GROUP BY 1, 2) q0) q1) q2
+            FROM (SELECT l_orderkey*8 + l_linenumber AS k, l_orderkey % 4 AS scan_id, l_quantity FROM {lineitem}) q0) q1) q2
+GROUP BY k, scan_id
 """
 
 

@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..params import POINTS, PipelineParams
-from ..plans.pipeline import summary
-from ..sources.scans import _decode
+from ..params import PipelineParams
+from ..plans.pipeline import summary_of_scans
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -31,9 +30,7 @@ def follow(spark: SparkSession, folder: str, out: str, checkpoint: str, p: Pipel
     def batch(df: DataFrame, batch_id: int) -> None:
         began = time.perf_counter()
         scans = df.select(F.regexp_extract("path", r"([0-9]+)\.bin$", 1).cast("long").alias("scan_id"), "content")
-        points = scans.mapInArrow(_decode("<f4", 4), POINTS)
-        seed = scans.select("scan_id", (F.col("scan_id") + 1000).alias("seed"))
-        rows = summary(points, p, seed)
+        rows = summary_of_scans(scans, p).drop("n_points")
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         took = spark.createDataFrame([((time.perf_counter() - began) * 1000,)], "total double")
         took.write.mode("overwrite").parquet(f"{out}_ms/batch={batch_id}")

@@ -243,3 +243,49 @@ def test_voxel_mode_names(spark):
         voxel.voxel_downsample(points(spark, [(0, 0, 0, 0)]), P, "other")
     with pytest.raises(ValueError):
         pipeline.run(points(spark, [(0, 0, 0, 0)]), P, cluster_mode="other")
+
+
+def scan_bytes(spark, seed=4, n=3000):
+    """Three scans: ground, a wall and outliers with NaN and a partial record; no points; null."""
+    rng = np.random.default_rng(seed)
+    xyz = np.column_stack([rng.uniform(-42, 42, (n, 2)), rng.normal(-1.7, 0.05, n)])
+    xyz[: n // 4] = np.column_stack([rng.uniform(3, 6, n // 4), rng.uniform(3, 3.3, n // 4), rng.uniform(-1.4, 2.2, n // 4)])
+    xyz[5] = np.nan
+    data = np.column_stack([xyz, np.ones(n)]).astype("<f4")
+    return data, spark.createDataFrame([(7, data.tobytes() + b"abc"), (8, b""), (9, None)], "scan_id long, content binary")
+
+
+def test_whole_scans_equal_the_tables(spark):
+    from pointloom.operators import whole
+
+    data, contents = scan_bytes(spark)
+    df = points(spark, [(7, *r[:3]) for r in data])
+    seeds = spark.createDataFrame([(s, 1000 + s) for s in (7, 8, 9)], "scan_id long, seed long")
+    r = pipeline.run(df, P, seeds, voxel_mode="exact")
+    got = {x.scan_id: x for x in pipeline.summary_of_scans(contents, P).collect()}
+    fields = ("n_points", "n_voxels", "best_hyp", "best_score", "n_ground", "n_clusters", "n_small")
+    assert {s: tuple(x[c] for c in fields) for s, x in got.items()} == {x.scan_id: tuple(x[c] for c in fields) for x in r.result.collect()}
+    assert got[7].n_points == len(data) and got[7].n_cells == r.occ.count() and got[8].best_hyp == got[9].best_hyp == -1
+    # centroids are equal bit for bit, labels too
+    bits = lambda rows: sorted((x.scan_id, x.key, *np.array([x.x, x.y, x.z], dtype=np.float32).view(np.uint32).tolist(), x.label) for x in rows)
+    assert bits(whole.label_voxels(contents, P).collect()) == bits(r.voxel_labels.select("scan_id", "key", "x", "y", "z", "label").collect())
+    labelled = lambda t: sorted(tuple(x) for x in t.select("scan_id", "idx", "label").collect())
+    assert labelled(whole.label_points(contents, P)) == labelled(r.point_labels)
+
+
+def test_whole_frames_and_large_grids(spark, tmp_path):
+    from pointloom.operators import whole
+
+    data, contents = scan_bytes(spark, 6, 500)
+    packed = scans.pack_points(points(spark, [(0, *r[:3]) for r in data]), P).orderBy("idx").collect()
+    frame = np.array([(x.qx, x.qy, x.qz) for x in packed], dtype="<u2").tobytes()
+    unpacked = scans.unpack_points(spark.createDataFrame([(0, i, x.qx, x.qy, x.qz) for i, x in enumerate(packed)], "scan_id long, idx long, qx int, qy int, qz int"), P)
+    want = [[x.x, x.y, x.z] for x in unpacked.orderBy("idx").collect()]
+    assert np.array_equal(whole.decode(frame, True, P), np.array(want, dtype=np.float32).T)
+    key = np.array([5, 1, 5, 9])
+    for size in (16, 1 << 25):
+        keys, own = whole.ranked(key, size)
+        assert keys.tolist() == [1, 5, 9] and own.tolist() == [1, 0, 1, 2]
+    (tmp_path / "0000000012.bin").write_bytes(data.tobytes())
+    assert [r.scan_id for r in scans.scan_contents(spark, str(tmp_path)).collect()] == [12]
+    assert "Exchange" not in pipeline.summary_of_scans(contents, P)._jdf.queryExecution().toString()
