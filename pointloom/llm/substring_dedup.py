@@ -124,25 +124,29 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").filter("doc_id is not null")
     blocks = texts.mapInArrow(_blocks, f"seed long, block long, doc_id {kind}, a long, start int, n int")
     keys = texts.mapInArrow(_key, f"doc_id {kind}, n_words long, a long, b long")
+    # What is known of a key is a table of its own before rows are joined with it: a join that reads
+    # an aggregate straight from its shuffle is one that adaptive execution does not split at a hot key.
     # one representative of each group of exact copies; the other copies are removed whole
-    first = keys.filter(F.col("n_words") >= WINDOW).groupBy("a", "b").agg(F.min("doc_id").alias("first_id"))
+    first = keys.filter(F.col("n_words") >= WINDOW).groupBy("a", "b").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    first = materialize(first.filter("first_id < last_id").drop("last_id"), "first")
     copies = materialize(keys.filter(F.col("n_words") >= WINDOW).join(first, ["a", "b"]).filter("doc_id > first_id").select("doc_id", "a", "n_words"), "copies")
     shared = blocks.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("seed")
-    found = blocks.join(shared, "seed").join(copies.select("doc_id", "a"), ["doc_id", "a"], "left_anti")
+    found = blocks.join(materialize(shared, "shared"), "seed").join(copies.select("doc_id", "a"), ["doc_id", "a"], "left_anti")
     found = materialize(found, "blocks")
-    # 1. whole blocks
-    earliest = found.groupBy("seed", "block").agg(F.min("doc_id").alias("first_id"))
-    placed = materialize(found.join(earliest, ["seed", "block"]), "placed")
+    # 1. whole blocks; one that is in no other document stands for itself
+    earliest = found.groupBy("seed", "block").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").drop("last_id")
+    placed = found.join(materialize(earliest, "earliest"), ["seed", "block"], "left")
+    placed = materialize(placed.withColumn("first_id", F.coalesce("first_id", "doc_id")), "placed")
     whole = placed.filter("doc_id > first_id").select("doc_id", "a", "start", "n")
     # 2. single windows, where a seed is left in several documents whose blocks differ
     broken = placed.filter("doc_id = first_id")
     several = broken.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("seed")
-    asked = broken.join(several, "seed").groupBy("doc_id", "a").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    asked = broken.join(materialize(several, "several"), "seed").groupBy("doc_id", "a").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     keyed = texts.mapInArrow(_with_digest, f"doc_id {kind}, text string, a long")
     singles = keyed.join(asked, ["doc_id", "a"]).dropDuplicates(["doc_id", "a"]).select("doc_id", "text", "a", "spans")
     singles = materialize(singles.mapInArrow(_windows, f"x long, y long, doc_id {kind}, a long, start int"), "windows")
     earliest = singles.groupBy("x", "y").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").drop("last_id")
-    single = singles.join(earliest, ["x", "y"]).filter("doc_id > first_id").select("doc_id", "a", "start", F.lit(1).alias("n"))
+    single = singles.join(materialize(earliest, "first_windows"), ["x", "y"]).filter("doc_id > first_id").select("doc_id", "a", "start", F.lit(1).alias("n"))
     copied = copies.select("doc_id", "a", F.lit(0).alias("start"), (F.col("n_words") - WINDOW + 1).cast("int").alias("n"))
     every = whole.unionAll(single).unionAll(copied.distinct())
     return every.groupBy("doc_id", "a").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
