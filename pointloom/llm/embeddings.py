@@ -4,15 +4,19 @@ Equal vectors form a class first.  Neighbour lists of ``k`` entries start from
 random-projection buckets (sign patterns of as many bits as keep buckets small,
 in several tables); then neighbours of neighbours are joined, round by round,
 until no list changes.  Links are the list entries at or above the threshold.
-A list that is full of links is saturated: its component is enlarged by
-comparing all its members, block against block, so every link is counted while
+A list that is full of links is saturated.  Saturated vectors are searched
+exactly against all rows: balls of them cover each component, the triangle
+inequality of angles leaves few rows outside it that can link into a ball, and
+links so found unite components.  All members of a component with saturated
+lists are then compared, block against block, so every link is counted while
 pairs never become rows.  Recall is audited against brute force on a set of
 query vectors; below the target, more tables are added and the search repeated.
 
 Bounds: blocks hold about ``BLOCK`` vectors; only entries within ``margin`` of
 the threshold are kept in lists; reverse neighbours joined in one round are at
-most ``k`` per vector (saturated lists are completed exactly by the blocks);
-the audit has about ``AUDIT`` query vectors, which run against all rows.
+most ``k`` per vector (saturated lists are completed exactly, as above); the
+audit has about ``AUDIT`` query vectors, which run against all rows; at most
+``CHUNK`` vectors are sent to the executors at once.
 
 Defined results: vectors that are null, empty or zero, or hold null or
 non-finite components, link with nothing and are kept; vectors of different
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import discard, materialize
 
-THRESHOLD, K, TABLES, BLOCK, AUDIT = 0.95, 10, 16, 512, 256
+THRESHOLD, K, TABLES, BLOCK, AUDIT, CHUNK = 0.95, 10, 16, 512, 256, 8192
 
 
 def _matrix(lists) -> np.ndarray:
@@ -143,6 +147,95 @@ def _count_links(threshold: float):
     return run
 
 
+def _balls(cover: float):
+    """Blocks (root, members) to (ball, root, cid, reach): each ball's leader is its first member, ``reach`` its widest angle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for root, members in zip(batch.column(0), batch.column(1)):
+                ids = members.values.field("cid").to_numpy(zero_copy_only=False)
+                x = _matrix(members.values.field("vec"))
+                angle = np.arccos(np.clip(_cosine(x, x), -1, 1))
+                np.fill_diagonal(angle, 0)
+                free = np.ones(len(ids), dtype=bool)
+                while free.any():
+                    lead = int(np.argmax(free))
+                    own = np.flatnonzero(free & (angle[lead] <= cover))
+                    free[own] = False
+                    columns = [np.full(len(own), ids[lead]), np.full(len(own), root.as_py()), ids[own], np.full(len(own), angle[lead, own].max())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["ball", "root", "cid", "reach"])
+
+    return run
+
+
+def _near_balls(shared, theta: float):
+    """Vectors (cid, root, vec) to (ball, cid): balls of other roots that a vector's links may reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaders: dict[int, tuple] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                sizes = np.asarray(part.column(2).value_lengths())
+                for dim in np.unique(sizes):
+                    if dim not in leaders:
+                        own = [r for r in shared.value if len(r[3]) == dim]
+                        leaders[dim] = (np.array([r[0] for r in own]), np.array([r[1] for r in own]), np.cos(np.minimum(np.pi, np.array([r[2] for r in own]) + theta + 1e-6)), np.array([r[3] for r in own]))
+                    ball, root, least, x = leaders[dim]
+                    if not len(ball):
+                        continue
+                    at = np.flatnonzero(sizes == dim)
+                    ids, roots = (part.column(c).to_numpy(zero_copy_only=False)[at] for c in (0, 1))
+                    i, j = np.nonzero(_cosine(_matrix(part.column(2).take(pa.array(at))), x) >= least[None, :])
+                    other = roots[i] != root[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(ball[j[other]]), pa.array(ids[i[other]])], ["ball", "cid"])
+
+    return run
+
+
+def _first_links(threshold: float):
+    """(members, rows) to (u, v): one link into the members for each row that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members, rows in zip(batch.column(0), batch.column(1)):
+                (a, x), (b, y) = ((m.values.field("cid").to_numpy(zero_copy_only=False), _matrix(m.values.field("vec"))) for m in (members, rows))
+                linked = _cosine(y, x) >= threshold
+                some = np.flatnonzero(linked.any(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(a[linked[some].argmax(axis=1)]), pa.array(b[some])], ["u", "v"])
+
+    return run
+
+
+def _chunks(df: DataFrame, n: int, key: str) -> Iterator[list]:
+    """The rows of ``df`` in lists of about ``CHUNK``, dealt by the hash of ``key``."""
+    parts = -(-n // CHUNK)
+    for i in range(parts):
+        found = df.filter(F.pmod(F.xxhash64(F.lit(11), key), F.lit(parts)) == i).collect()
+        if found:
+            yield found
+
+
+def saturated_links(vectors: DataFrame, roots: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): for each row outside a component and each ball of the component's saturated vectors it links with, one such link."""
+    spark, theta = vectors.sparkSession, math.acos(threshold)
+    own = roots.join(full.select(F.col("u").alias("node")), "node").select(F.col("node").alias("cid"), "root")
+    blocks = own.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = own.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))).join(vectors, "cid")
+    balls = materialize(placed.groupBy("root", "block").agg(F.collect_list(F.struct("cid", "vec")).alias("m")).select("root", "m").mapInArrow(_balls(theta), "ball long, root long, cid long, reach double"), "balls")
+    leaders = balls.filter("ball = cid").join(vectors, "cid").select("ball", "root", "reach", "vec")
+    rooted = vectors.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"), "vec")
+    near = spark.createDataFrame([], "ball long, cid long")
+    for found in _chunks(leaders, leaders.count(), "ball"):
+        shared = spark.sparkContext.broadcast([(r.ball, r.root, r.reach, np.array(r.vec, dtype=np.float64)) for r in found])
+        near = near.unionAll(materialize(rooted.mapInArrow(_near_balls(shared, theta), "ball long, cid long"), "near"))
+        shared.destroy()
+    blocks = near.groupBy("ball").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = near.join(blocks, "ball").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))).join(vectors, "cid").groupBy("ball", "block").agg(F.collect_list(F.struct("cid", "vec")).alias("rows"))
+    members = balls.join(blocks, "ball", "left_semi").join(vectors, "cid").groupBy("ball").agg(F.collect_list(F.struct("cid", "vec")).alias("members"))
+    return rows.join(members, "ball").select("members", "rows").mapInArrow(_first_links(threshold), "u long, v long")
+
+
 def _audit(vectors: DataFrame, lists: DataFrame, n: int, threshold: float, k: int) -> float:
     """Share of the query vectors' true links that the lists have (a full list of links counts as whole)."""
     picked = vectors.filter(F.pmod(F.xxhash64(F.lit(5), "cid"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, AUDIT / max(n, 1)))).limit(4 * AUDIT).collect()
@@ -169,6 +262,19 @@ def _audit(vectors: DataFrame, lists: DataFrame, n: int, threshold: float, k: in
     return r.hits / r.n if r.n else 1.0
 
 
+def _links_of(classes: DataFrame, links: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
+    """(cid, links): by blocks for members of ``whole`` (node, root), from ``links`` for the others."""
+    sizes = whole.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = whole.select(F.col("node").alias("cid"), "root").join(classes, "cid")
+    placed = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.select("root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.struct("cid", (F.col("block") > F.col("other")).cast("int").alias("side"), "n", "vec").alias("m"))
+    met = paired.groupBy("root", "a", "b").agg(F.collect_list("m").alias("m")).select((F.col("a") == F.col("b")).alias("same"), "m")
+    counted = met.mapInArrow(_count_links(threshold), "cid long, links long")
+    small = links.join(whole.select(F.col("node").alias("u")), "u", "left_anti").join(classes.select(F.col("cid").alias("v"), "n"), "v").select(F.col("u").alias("cid"), F.col("n").alias("links"))
+    return counted.unionAll(small).groupBy("cid").agg(F.sum("links").alias("links"))
+
+
 def near_duplicate_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = K, tables: int = TABLES, margin: float = 0.1, target: float = 0.99) -> DataFrame:
     """Per row of ``rows`` (vec_id, embedding): vec_id, n_links, component_id, kept."""
     e = F.col("embedding")
@@ -183,19 +289,15 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int
         if tables >= 128 or _audit(vectors, lists, n, threshold, k) >= target:
             break
         tables *= 2
-    links = lists.filter(F.col("cos") >= threshold)
-    roots = materialize(components(links.select("u", "v")), "roots")
-    full = links.groupBy("u").agg(F.count("*").alias("c")).filter(F.col("c") >= k)
+    links = lists.filter(F.col("cos") >= threshold).select("u", "v")
+    roots = materialize(components(links), "roots")
+    full = materialize(links.groupBy("u").agg(F.count("*").alias("c")).filter(F.col("c") >= k).select("u"), "full")
+    across = materialize(saturated_links(vectors, roots, full, threshold), "across")
+    if across.first():
+        roots = materialize(components(links.unionAll(across)), "roots")
     large = roots.join(full.select(F.col("u").alias("node")), "node").select("root").distinct()
-    members = roots.join(large, "root").select(F.col("node").alias("cid"), "root").join(classes, "cid")
-    sizes = roots.join(large, "root").groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.struct("cid", (F.col("block") > F.col("other")).cast("int").alias("side"), "n", "vec").alias("m"))
-    met = paired.groupBy("root", "a", "b").agg(F.collect_list("m").alias("m")).select((F.col("a") == F.col("b")).alias("same"), "m")
-    counted = met.mapInArrow(_count_links(threshold), "cid long, links long")
-    small = links.join(roots.withColumnRenamed("node", "u"), "u").join(large, "root", "left_anti").join(classes.select(F.col("cid").alias("v"), "n"), "v").select(F.col("u").alias("cid"), F.col("n").alias("links"))
-    total = counted.unionAll(small).groupBy("cid").agg(F.sum("links").alias("links"))
+    whole = materialize(roots.join(large, "root").select("node", "root"), "whole")
+    total = _links_of(classes, links, whole, threshold)
     rooted = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "first_id", F.coalesce("root", "cid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     per_class = rooted.join(least, "root").join(total, "cid", "left").select("cid", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
