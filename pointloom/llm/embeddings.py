@@ -9,14 +9,18 @@ exactly against all rows: balls of them cover each component, the triangle
 inequality of angles leaves few rows outside it that can link into a ball, and
 links so found unite components.  All members of a component with saturated
 lists are then compared, block against block, so every link is counted while
-pairs never become rows.  Recall is audited against brute force on a set of
-query vectors; below the target, more tables are added and the search repeated.
+pairs never become rows.  The final links and components are audited against
+brute force on query vectors, by the average recall of a query, apart for
+components with saturated lists and for all other rows; below the target, more
+tables are added and the search repeated, and at the last step all rows are
+compared with all rows.
 
 Bounds: blocks hold about ``BLOCK`` vectors; only entries within ``margin`` of
 the threshold are kept in lists; reverse neighbours joined in one round are at
 most ``k`` per vector (saturated lists are completed exactly, as above); the
-audit has about ``AUDIT`` query vectors, which run against all rows; at most
-``CHUNK`` vectors are sent to the executors at once.
+audit has about ``AUDIT`` query vectors in components with saturated lists and
+``8 * AUDIT`` elsewhere, which run against all rows; at most ``CHUNK`` vectors
+are sent to the executors at once.
 
 Defined results: vectors that are null, empty or zero, or hold null or
 non-finite components, link with nothing and are kept; vectors of different
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import discard, materialize
 
-THRESHOLD, K, TABLES, BLOCK, AUDIT, CHUNK = 0.95, 10, 16, 512, 256, 8192
+THRESHOLD, K, TABLES, MOST_TABLES, BLOCK, AUDIT, CHUNK = 0.95, 10, 16, 128, 512, 256, 8192
 
 
 def _matrix(lists) -> np.ndarray:
@@ -236,30 +240,89 @@ def saturated_links(vectors: DataFrame, roots: DataFrame, full: DataFrame, thres
     return rows.join(members, "ball").select("members", "rows").mapInArrow(_first_links(threshold), "u long, v long")
 
 
-def _audit(vectors: DataFrame, lists: DataFrame, n: int, threshold: float, k: int) -> float:
-    """Share of the query vectors' true links that the lists have (a full list of links counts as whole)."""
-    picked = vectors.filter(F.pmod(F.xxhash64(F.lit(5), "cid"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, AUDIT / max(n, 1)))).limit(4 * AUDIT).collect()
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least row of the component that each row and each column of a bipartite link matrix is in (only where it links)."""
+    rows = np.arange(len(linked))
+    while True:
+        columns = np.where(linked, rows[:, None], len(linked)).min(axis=0)
+        new = np.minimum(rows, np.where(linked, columns[None, :], len(linked)).min(axis=1))
+        if (new == rows).all():
+            return rows, columns
+        rows = new
+
+
+def _compare_all(shared, threshold: float):
+    """Vectors (cid, vec) against a chunk to (u, v, links): links of u, weighted by class sizes, and a forest of the links as (u, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                sizes = np.asarray(part.column(1).value_lengths())
+                for dim in np.unique(sizes):
+                    own = [r for r in shared.value if len(r[2]) == dim]
+                    if not own:
+                        continue
+                    at = np.flatnonzero(sizes == dim)
+                    ids = part.column(0).to_numpy(zero_copy_only=False)[at]
+                    others, n = (np.array([r[c] for r in own]) for c in (0, 1))
+                    linked = (_cosine(_matrix(part.column(1).take(pa.array(at))), np.array([r[2] for r in own])) >= threshold) & (ids[:, None] != others[None, :])
+                    i, j = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+                    if len(i):
+                        rows, columns = _forest(linked[np.ix_(i, j)])
+                        u, v = np.concatenate([ids[i], others[j]]), ids[i][np.concatenate([rows, columns])]
+                        links = np.concatenate([linked[i] @ n, np.zeros(len(j), dtype=np.int64)])
+                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(links.astype(np.int64))], ["u", "v", "links"])
+
+    return run
+
+
+def exact_links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(u, v, links) of all rows against all rows: the links of u sum to its number, (u, v) connect the components."""
+    spark, vectors = classes.sparkSession, classes.select("cid", "vec")
+    out = spark.createDataFrame([], "u long, v long, links long")
+    for found in _chunks(classes.select("cid", "n", "vec"), n, "cid"):
+        shared = spark.sparkContext.broadcast([(r.cid, r.n, np.array(r.vec, dtype=np.float64)) for r in found])
+        out = out.unionAll(materialize(vectors.mapInArrow(_compare_all(shared, threshold), "u long, v long, links long"), "exact"))
+        shared.destroy()
+    return out
+
+
+def _audit(vectors: DataFrame, links: DataFrame, whole: DataFrame, n: int, threshold: float) -> float:
+    """Average recall of a query vector over its true links, the lesser of two audits.
+
+    One is over members of ``whole`` (node, root), the components whose members
+    are all compared, and one over all other rows.  A true link is found where
+    it is counted: in ``links``, or between members of one component of ``whole``.
+    """
+    inside = whole.count()
+    place = F.pmod(F.xxhash64(F.lit(5), "cid"), F.lit(1_000_000))
+    rate = lambda want, of: int(1_000_000 * min(1.0, want / max(of, 1)))
+    marked = vectors.join(whole.select(F.col("node").alias("cid"), F.lit(True).alias("inside")), "cid", "left")
+    picked = marked.filter(place < F.when(F.col("inside"), rate(AUDIT, inside)).otherwise(rate(8 * AUDIT, n - inside))).select("cid", "vec").limit(16 * AUDIT).collect()
     if not picked:
         return 1.0
     shared = vectors.sparkSession.sparkContext.broadcast([(r.cid, np.array(r.vec, dtype=np.float64)) for r in picked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.asarray(batch.column(1).value_lengths())
-            for dim in np.unique(sizes):
-                at = np.flatnonzero(sizes == dim)
-                own = [(c, v) for c, v in shared.value if len(v) == dim]
-                if own:
-                    cos = _cosine(np.array([v for _, v in own]), _matrix(batch.column(1).take(pa.array(at))))
-                    ids = batch.column(0).to_numpy(zero_copy_only=False)[at]
-                    i, j = np.nonzero((cos >= threshold) & (np.array([c for c, _ in own])[:, None] != ids[None, :]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array([own[x][0] for x in i], dtype=np.int64)), pa.array(ids[j])], ["u", "v"])
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                sizes = np.asarray(part.column(1).value_lengths())
+                for dim in np.unique(sizes):
+                    at = np.flatnonzero(sizes == dim)
+                    own = [(c, v) for c, v in shared.value if len(v) == dim]
+                    if own:
+                        cos = _cosine(np.array([v for _, v in own]), _matrix(part.column(1).take(pa.array(at))))
+                        ids = part.column(0).to_numpy(zero_copy_only=False)[at]
+                        i, j = np.nonzero((cos >= threshold) & (np.array([c for c, _ in own])[:, None] != ids[None, :]))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.array([own[x][0] for x in i], dtype=np.int64)), pa.array(ids[j])], ["u", "v"])
 
-    true = vectors.mapInArrow(run, "u long, v long")
-    have = lists.filter(F.col("cos") >= threshold)
-    full = have.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("u", F.lit(True).alias("full"))
-    r = true.join(have.select("u", "v", F.lit(True).alias("hit")), ["u", "v"], "left").join(full, "u", "left").agg(F.count("*").alias("n"), F.sum(F.coalesce("hit", "full", F.lit(False)).cast("long")).alias("hits")).first()
-    return r.hits / r.n if r.n else 1.0
+    true = vectors.mapInArrow(run, "u long, v long").join(links.select("u", "v", F.lit(True).alias("hit")), ["u", "v"], "left")
+    for c in ("u", "v"):
+        true = true.join(whole.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    query = true.groupBy("u", F.col("root_u").isNotNull().alias("inside")).agg(F.avg(F.coalesce("hit", F.col("root_u") == F.col("root_v"), F.lit(False)).cast("int")).alias("recall"))
+    return min([r.recall for r in query.groupBy("inside").agg(F.avg("recall").alias("recall")).collect()], default=1.0)
 
 
 def _links_of(classes: DataFrame, links: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
@@ -285,19 +348,23 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int
     vectors = classes.select("cid", "vec")
     n = classes.count()
     while True:
-        lists = neighbour_lists(vectors, n, k, threshold - margin, tables)
-        if tables >= 128 or _audit(vectors, lists, n, threshold, k) >= target:
+        links = neighbour_lists(vectors, n, k, threshold - margin, tables).filter(F.col("cos") >= threshold).select("u", "v")
+        roots = materialize(components(links), "roots")
+        full = materialize(links.groupBy("u").agg(F.count("*").alias("c")).filter(F.col("c") >= k).select("u"), "full")
+        across = materialize(saturated_links(vectors, roots, full, threshold), "across")
+        if across.first():
+            roots = materialize(components(links.unionAll(across)), "roots")
+        large = roots.join(full.select(F.col("u").alias("node")), "node").select("root").distinct()
+        whole = materialize(roots.join(large, "root").select("node", "root"), "whole")
+        if _audit(vectors, links, whole, n, threshold) >= target:
+            total = _links_of(classes, links, whole, threshold)
+            break
+        if tables >= MOST_TABLES:
+            exact = exact_links(classes, n, threshold)
+            roots = materialize(components(exact.select("u", "v")), "roots")
+            total = exact.groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
             break
         tables *= 2
-    links = lists.filter(F.col("cos") >= threshold).select("u", "v")
-    roots = materialize(components(links), "roots")
-    full = materialize(links.groupBy("u").agg(F.count("*").alias("c")).filter(F.col("c") >= k).select("u"), "full")
-    across = materialize(saturated_links(vectors, roots, full, threshold), "across")
-    if across.first():
-        roots = materialize(components(links.unionAll(across)), "roots")
-    large = roots.join(full.select(F.col("u").alias("node")), "node").select("root").distinct()
-    whole = materialize(roots.join(large, "root").select("node", "root"), "whole")
-    total = _links_of(classes, links, whole, threshold)
     rooted = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "first_id", F.coalesce("root", "cid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     per_class = rooted.join(least, "root").join(total, "cid", "left").select("cid", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")

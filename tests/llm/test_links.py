@@ -1,7 +1,9 @@
 """Links of embeddings where neighbour lists alone would lose them."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from pointloom.llm import embeddings
 from pointloom.llm.embeddings import near_duplicate_vectors
 
 
@@ -35,3 +37,20 @@ def test_links_between_saturated_groups(spark):
     cos = x @ x.T
     assert cos[:12, :12].min() > cos[:12, 12:24].max() and cos[:12, 12:24].min() >= 0.95
     check(spark, x)
+
+
+def test_exact_when_the_search_finds_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    group = near(rng, np.eye(32)[0], 30, 0.005)
+    pairs = np.concatenate([near(rng, rng.normal(size=32) * 5, 2, 0.05) for _ in range(40)])
+    x = np.concatenate([group, pairs])
+    found = embeddings.neighbour_lists
+
+    def lossy(vectors, *args):
+        """All lists but those of the pairs: over links, the recall is near one."""
+        return found(vectors, *args).join(rows, "u").join(rows.withColumnRenamed("u", "v"), "v").select("u", "v", "cos")
+
+    rows = spark.createDataFrame([(v.tolist(),) for v in group], "vec array<double>").select(F.xxhash64(F.transform("vec", lambda e: e + 0)).alias("u"))
+    monkeypatch.setattr(embeddings, "neighbour_lists", lossy)
+    monkeypatch.setattr(embeddings, "MOST_TABLES", 16, raising=False)
+    check(spark, x)
