@@ -5,10 +5,12 @@ without unions: tokens are tags and text; immediate repeats of a token sequence
 become a repeated group ``( ... )+``; pages are aligned one after another, and a
 mismatch of text becomes a slot, a mismatch of tags an optional group
 ``( ... )?``.  The element whose slots hold the text that differs between pages
-is the host's main element.  Every page is then read whole against it: blocks
-inside the main element, outside page furniture (menus, forms, adverts,
+is the host's main element.  Every page is then read whole, not aligned with the
+wrapper, by that element and by lists of tags and class words: blocks inside it, outside page furniture (menus, forms, adverts,
 comments ...), are its main text.  Hosts with one page, and pages without the
-main element, use the article, the main element or the body.
+main element, use the article, the main element or the body.  Where a form or
+a listed class word stands around the page's article, main element or host's
+element, or around all its text, it does not count as furniture.
 
 Bound: a wrapper is inferred from at most ``SAMPLE`` pages of a host, one per
 hash bucket (the aggregate keeps one page per host, bucket and task), and from
@@ -69,14 +71,16 @@ def _key(name: str, rest: str) -> str:
     return name + "".join(f"#{a[k]}" if k == "id" else f".{a[k]}" for k in ("class", "id") if k in a)
 
 
-def _furniture(name: str, rest: str, inside: bool) -> bool:
-    if name in FURNITURE or (name == "header" and not inside):
+def _furniture(name: str, rest: str, inside: bool, words_count: bool = True) -> bool:
+    if (name in FURNITURE and (words_count or name not in ("form", "fieldset"))) or (name == "header" and not inside):
         return True
     if not rest:
         return False
     a = _attributes(rest)
     if a.get("role") in FURNITURE_ROLES or _HIDDEN.search(rest):
         return True
+    if not words_count:
+        return False
     words = re.split(r"[^a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')}")
     return name not in ("body", "html", "main") and any(w in FURNITURE_WORDS for w in words) or (not inside and "header" in words)
 
@@ -84,8 +88,9 @@ def _furniture(name: str, rest: str, inside: bool) -> bool:
 class _Reader:
     """Open elements of a page, closed as browsers do; blocks of text with where they stand."""
 
-    def __init__(self, main: str | None):
+    def __init__(self, main: str | None, wraps: bool = False):
         self.main = main
+        self.wraps = wraps  # forms and class words count only inside the main text
         self.stack: list[tuple[str, bool, int]] = []  # name, furniture, region bits
         self.blocks: list[tuple[str, int]] = []
         self.buffer: list[str] = []
@@ -131,7 +136,7 @@ class _Reader:
             if name in _CLOSES_SAME:
                 for x in ("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,):
                     self.close(x, _CLOSES_SAME[name])
-            furniture = _furniture(name, rest, bool(self.region & 6))
+            furniture = _furniture(name, rest, bool(self.region & 6), not self.wraps or bool(self.region))
             bits = self.region
             if not self.off and not furniture:
                 bits |= 4 * (name == "article" or "articlebody" in rest.lower()) | 2 * (name == "main" or _attributes(rest).get("role") == "main")
@@ -149,13 +154,21 @@ def extract(page: str | None, main: str | None) -> str:
     The host's element counts only where it holds most of the text outside
     page furniture; otherwise the page's own article or main element does.
     """
-    blocks = _Reader(main).read(page or "")
+    strict = _chosen(_Reader(main).read(page or ""))
+    if strict[1]:
+        return strict[0]
+    loose = _chosen(_Reader(main, True).read(page or ""))
+    return loose[0] if loose[1] or not strict[0] else strict[0]
+
+
+def _chosen(blocks: list[tuple[str, int]]) -> tuple[str, int]:
+    """(text, the region bit it was taken by) of a page's blocks."""
     whole = sum(len(t) for t, _ in blocks)
     for bit in (8, 4, 2, 0):
         own = [t for t, r in blocks if r & bit or not bit]
         if own and (bit != 8 or sum(map(len, own)) >= 0.6 * whole):
-            return " ".join(own)
-    return ""
+            return " ".join(own), bit
+    return "", 0
 
 
 def _stream(page: str) -> list[list]:
