@@ -1,10 +1,10 @@
-"""Benchmark decontamination over a document-sharded positional inverted index.
+"""Benchmark decontamination by exact windows, without a stored index.
 
-Each task indexes the documents it holds: postings of the test terms (term ->
-positions), as a search engine keeps one index shard per set of documents.
-The test windows are sent to every shard; a window is looked up at its rarest
-term (by frequency over *all* documents) and the candidates are intersected
-with the offset-adjusted postings of the next-rarest terms in turn.  Windows
+Each task turns the words of its documents into ids of test terms and scans
+them; no postings are stored, and there is no proximity match.
+The test windows are sent to every task; a window is looked up at its rarest
+term (by frequency over *all* documents) and the candidates are compared with
+the next-rarest terms at their offsets in turn.  Windows
 travel in blocks of a bounded number, so the size of a broadcast does not
 follow the benchmark: a larger benchmark takes more passes.
 
