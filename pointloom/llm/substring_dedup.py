@@ -1,17 +1,16 @@
-"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Substring dedup by hash joins of content-defined blocks and single windows.
 
 The reference is the corpus itself, cut into content-defined blocks: every
 13-word window picks its smallest 6-word seed (a minimiser), and consecutive
 windows that pick the same seed form a block.  Equal windows pick the same
-seed, so an index on seeds misses no repeat.  A document is then parsed against
-the blocks of all documents with a smaller id, wherever the index holds them:
+seed, so an index on seeds misses no repeat.  In place of a relative Lempel-Ziv
+parse, a document is joined with the blocks of all documents with a smaller id:
 
-1. whole blocks first - a block equal to an earlier one is taken as it is, and
-   adjacent blocks extend the factor greedily;
-2. where the parse breaks, at factor boundaries, the single windows of the
-   broken blocks are looked up one by one.
+1. whole blocks first - a block equal to an earlier one is taken as it is;
+2. the single windows of the other blocks are looked up one by one.
 
-A factor is a maximal run of matched windows, at least 13 words.  Exact copies
+A factor is a maximal run of words in matched blocks and windows, at least 13
+words; it has no source or position.  Exact copies
 of a document are recognised by a 128-bit digest and never enter the index.
 Blocks and windows are compared by two independent 64-bit hashes.
 
