@@ -2,11 +2,13 @@
 
 Lineage is cut by writing Parquet under ``spark.checkpoint.dir``: the files
 survive the loss of any executor.  A machine-local folder is used only in
-local mode when that setting is absent.
+local mode when that setting is absent.  Tables that a returned result reads
+stay until the driver's process ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -31,8 +33,26 @@ def shared_dir(spark: SparkSession) -> str:
 _local: str | None = None
 
 
+_roots: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pointloom/{name}-{uuid.uuid4().hex}"
+    """A path in the folder of this application, which goes when the driver's process ends."""
+    root = f"{shared_dir(spark)}/pointloom/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a path, if the session can still reach it."""
+    try:
+        context = spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session ended first: its folder is the cluster's to clear
+        pass
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -58,6 +78,4 @@ def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`materialize` that nothing reads any more."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _remove(df.sparkSession, path)

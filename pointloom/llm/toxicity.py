@@ -42,7 +42,7 @@ def _terms(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     row = c.row_of_word()
     length = c.ends - c.starts
     four, six = length > 4, length > 6
-    hashed = [c.hashes(0), c.hashes(0, 4)[four] * U64(5), c.hashes(0, 6)[six] * U64(7)]
+    hashed = [c.hashes(), c.hashes(4)[four] * U64(5), c.hashes(6)[six] * U64(7)]
     return np.concatenate([row, row[four], row[six]]), (np.concatenate(hashed) & _BUCKETS).astype(np.int64)
 
 

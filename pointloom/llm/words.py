@@ -7,6 +7,7 @@ worker's memory depends neither on the batch nor on the number of rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,26 +39,35 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+def exact_pairs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each byte string data[start:end] that tell any two different strings apart.
 
-    def __init__(self, base: int, seed: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=U64)
-        self.table = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
+    Up to 15 bytes are held as they are, with their length in the highest byte;
+    a longer string has 120 bits of its BLAKE2b digest and 255 there.
+    """
+    padded = np.concatenate([data, np.zeros(16, dtype=np.uint8)])
+    eight = np.ndarray((len(data) + 9,), dtype="<u8", buffer=padded, strides=(1,))
+    length = ends - starts
+    low = np.minimum(length, 8)
+    high = np.clip(length - 8, 0, 7)
+    a = eight[starts].astype(U64) & _MASKS[low]
+    b = (eight[np.minimum(starts + 8, len(data))].astype(U64) & _MASKS[high]) | (np.minimum(length, 255).astype(U64) << U64(56))
+    long = np.flatnonzero(length > 15)
+    if len(long):
+        raw = data.tobytes()
+        digests = b"".join(hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(starts[long].tolist(), ends[long].tolist()))
+        both = np.frombuffer(digests, dtype="<u8").reshape(-1, 2)
+        a[long], b[long] = both[:, 0], both[:, 1] | U64(255 << 56)
+    return a, b
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, CHUNK_BYTES + 1)
-            with np.errstate(over="ignore"):
-                for name, b in (("up", self.base), ("down", self.inverse)):
-                    p = np.full(size, b, dtype=U64)
-                    p[0] = 1
-                    setattr(self, name, np.multiply.accumulate(p))
-        return self.up[:n], self.down[:n]
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 
-_BASES = (_Powers(0x9E3779B97F4A7C15, 11), _Powers(0xC2B2AE3D27D4EB4F, 23))
+
+def scramble(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of two numbers."""
+    with np.errstate(over="ignore"):
+        return mix(a ^ mix(b + U64(0x9E3779B97F4A7C15)))
 
 
 class Chunk:
@@ -66,7 +76,7 @@ class Chunk:
     def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray):
         self.first, self.data, self.offsets = first, data, offsets
         self.rows = len(offsets) - 1
-        inside = kind[data]
+        inside = self.inside = kind[data]
         before = np.zeros(len(data), dtype=bool)
         after = np.zeros(len(data), dtype=bool)
         if len(data):
@@ -88,21 +98,28 @@ class Chunk:
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), self.counts)
 
-    def hashes(self, which: int = 0, first: int | None = None) -> np.ndarray:
-        """A 64-bit hash of each word, or of its first so many bytes; 0 and 1 are independent functions."""
-        p = _BASES[which]
-        n = len(self.data)
-        up, down = p.to(n + 1)
-        total = np.zeros(n + 1, dtype=U64)
-        with np.errstate(over="ignore"):
-            np.cumsum(p.table[self.data] * up[:n], out=total[1:])
-            ends = self.ends if first is None else np.minimum(self.ends, self.starts + first)
-            h = (total[ends] - total[self.starts]) * down[self.starts]
-            return mix(h + (ends - self.starts).astype(U64))
+    def identities(self, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The :func:`exact_pairs` of each word, or of its first so many bytes."""
+        return exact_pairs(self.data, self.starts, self.ends if first is None else np.minimum(self.ends, self.starts + first))
 
+    def hashes(self, first: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first so many bytes."""
+        return scramble(*self.identities(first))
 
-def chunks(texts: pa.Array | pa.ChunkedArray, kind: np.ndarray, lower: bool = False, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Cut a string column (null: empty) into chunks of about ``limit`` bytes, whole rows each."""
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, starts, ends): the words with single spaces between those of a row."""
+        keep = self.inside.copy()
+        gaps = self.ends[self.ends < len(self.data)]
+        gaps = gaps[~keep[gaps]]
+        data = self.data.copy()
+        data[gaps] = 0x20
+        keep[gaps] = True
+        place = np.cumsum(keep)
+        return data[keep], place[self.starts] - 1, place[self.ends - 1]
+
+
+def pieces(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets): a string column (null: empty) in pieces of about ``limit`` bytes, whole rows each."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
@@ -118,11 +135,16 @@ def chunks(texts: pa.Array | pa.ChunkedArray, kind: np.ndarray, lower: bool = Fa
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
         to = min(to, n)
-        part = data[offsets[at] : offsets[to]]
-        yield Chunk(at, LOWER[part] if lower else part, offsets[at : to + 1] - offsets[at], kind)
+        yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
 
+def chunks(texts: pa.Array | pa.ChunkedArray, kind: np.ndarray, lower: bool = False, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
+    """The :func:`pieces` of a string column with their words."""
+    for at, data, offsets in pieces(texts, limit):
+        yield Chunk(at, LOWER[data] if lower else data, offsets, kind)
+
+
 def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` consecutive entries (order matters); shorter by n - 1."""
     m = len(hashes) - n + 1
