@@ -1,8 +1,9 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
-Every step is a partial aggregate (minimum neighbour) and an equi-join that
-adaptive execution can split, so a node with very many links is no bottleneck.
-The number of rounds grows with the logarithm of the longest path.
+Every step is a partial aggregate (minimum neighbour) and an equi-join.  The
+aggregate is a table of its own before it is joined, so both sides of the join
+come straight from a shuffle and adaptive execution splits a node with very many
+links.  The number of rounds grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -14,12 +15,17 @@ from .scratch import discard, materialize
 
 
 def _stars(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step, as a table."""
     both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(edges.select(F.col("v"), F.col("u")))
-    least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-    large = both.filter("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
+    large = materialize(both.filter("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large")
+    discard(least)
+    least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
     down = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return down.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+    out = materialize(down.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+    discard(large)
+    discard(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,10 +37,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if mark == seen:
+        if mark == seen or not mark[0]:
             break
         seen, before = mark, now
-        now = materialize(_stars(before), "stars")
+        now = _stars(before)
         discard(before)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)

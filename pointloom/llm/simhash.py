@@ -14,6 +14,10 @@ members within k bits share one of k + 1 finer buckets.  A bucket on all but r
 bits holds at most 2**r fingerprints, so splitting always ends; nothing is
 capped.  Inside a bucket, links are compared vectorised and reduced to a
 spanning forest, so pairs never become rows.
+
+Shingles are hashed in Python, all of a chunk at once (numpy on byte buffers):
+the engine's own xxhash64 is the same function, but shingles would have to be
+rows, or arrays of strings, to reach it.
 """
 
 from __future__ import annotations
@@ -38,35 +42,88 @@ BUCKET = 256
 _PAIRS = 1 << 22
 
 
+_P1, _P2, _P3, _P4, _P5 = (U64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+#: Longer strings are hashed one by one.
+_LONG = 256
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << U64(by)) | (x >> U64(64 - by))
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each byte string data[start:end], all strings at once."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    four = np.ndarray((len(data) + 1,), dtype="<u4", buffer=padded, strides=(1,))
+    long = np.flatnonzero(ends - starts >= _LONG)
+    at, end = starts.copy(), ends.copy()
+    end[long] = at[long]
+    length = (end - at).astype(U64)
+    with np.errstate(over="ignore"):
+        step = lambda lane, x: _rotated(lane + x * _P2, 31) * _P1
+        h = np.full(len(at), U64(seed) + _P5, dtype=U64)
+        wide = np.flatnonzero(length >= 32)
+        if len(wide):
+            s = U64(seed)
+            lanes = [np.full(len(wide), x, dtype=U64) for x in (s + _P1 + _P2, s + _P2, s, s - _P1)]
+            while len(on := np.flatnonzero(at[wide] + 32 <= end[wide])):
+                here = at[wide[on]]
+                for k in range(4):
+                    lanes[k][on] = step(lanes[k][on], eight[here + 8 * k].astype(U64))
+                at[wide[on]] += 32
+            both = _rotated(lanes[0], 1) + _rotated(lanes[1], 7) + _rotated(lanes[2], 12) + _rotated(lanes[3], 18)
+            for k in range(4):
+                both = (both ^ step(U64(0), lanes[k])) * _P1 + _P4
+            h[wide] = both
+        h += length
+        while len(on := np.flatnonzero(at + 8 <= end)):
+            h[on] = _rotated(h[on] ^ step(U64(0), eight[at[on]].astype(U64)), 27) * _P1 + _P4
+            at[on] += 8
+        on = np.flatnonzero(at + 4 <= end)
+        h[on] = _rotated(h[on] ^ (four[at[on]].astype(U64) * _P1), 23) * _P2 + _P3
+        at[on] += 4
+        while len(on := np.flatnonzero(at < end)):
+            h[on] = _rotated(h[on] ^ (data[at[on]].astype(U64) * _P5), 11) * _P1
+            at[on] += 1
+        h = (h ^ (h >> U64(33))) * _P2
+        h = (h ^ (h >> U64(29))) * _P3
+        h ^= h >> U64(32)
+    if len(long):
+        raw = data.tobytes()
+        h[long] = [xxhash.xxh64_intdigest(raw[a:b], seed) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+    return h
+
+
+def majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each run of n[i] > 0 consecutive hashes: the bits set in more than half of them."""
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    # eight counters of eight bits in each word hold runs of up to 255
+    parts = -(-n // 255)
+    run = np.repeat(np.arange(len(n)), parts)
+    inner = np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts)
+    cuts = first[run] + 255 * inner
+    counts = np.zeros((len(n), BITS), dtype=np.int64)
+    whole = np.cumsum(parts) - parts
+    for k in range(8):
+        some = np.add.reduceat((h >> U64(k)) & U64(0x0101010101010101), cuts)
+        counts[:, k::8] = np.add.reduceat(some.astype("<u8").view(np.uint8).reshape(-1, 8), whole, axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(U64)
+
+
 def _fingerprints(texts: pa.Array) -> np.ndarray:
     out = []
     for c in chunks(texts, SPACED, lower=True):
-        counts, offsets = c.counts, c.word_offsets
-        keep = np.zeros(len(c.data), dtype=bool)
-        if len(c.starts):
-            edge = np.bincount(c.starts, minlength=len(c.data) + 1) - np.bincount(c.ends, minlength=len(c.data) + 1)
-            keep = np.cumsum(edge)[:-1] > 0
-        gaps = c.ends[c.ends < len(c.data)]
-        gaps = gaps[~keep[gaps]]
-        data = c.data.copy()
-        data[gaps] = 0x20
-        keep[gaps] = True
-        place = np.cumsum(keep)
-        starts, ends = place[c.starts] - 1, place[c.ends - 1]
-        text = data[keep].tobytes()
+        counts = c.counts
+        data, starts, ends = c.joined()
         n = np.where(counts >= SHINGLE, counts - SHINGLE + 1, np.minimum(counts, 1))
-        size = np.minimum(counts, SHINGLE)
         row = np.repeat(np.arange(c.rows), n)
-        first = np.repeat(offsets[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        last = first + size[row] - 1
-        digest, seed = xxhash.xxh64_intdigest, SEED
-        h = np.fromiter((digest(text[a:b], seed) for a, b in zip(starts[first].tolist(), ends[last].tolist())), dtype=U64, count=len(first))
+        first = np.repeat(c.word_offsets[:-1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        last = first + np.minimum(counts, SHINGLE)[row] - 1
         fp = np.zeros(c.rows, dtype=U64)
         full = np.flatnonzero(n)
         if len(full):
-            bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            total = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(n[full])[:-1]]), axis=0, dtype=np.int64)
-            fp[full] = np.packbits(2 * total > n[full][:, None], axis=1).view(">u8").ravel().astype(U64)
+            fp[full] = majority(xxh64(data, starts[first], ends[last]), n[full])
         out.append(fp)
     return np.concatenate(out) if out else np.zeros(0, dtype=U64)
 
@@ -216,24 +273,23 @@ def link_forest(fps: DataFrame, k: int = DISTANCE, bucket: int = BUCKET) -> Data
     if n < 2:
         return out
     masks = plan_probes(fps, n, k)
-    rows, level = _keyed(fps, masks), 0
+    rows = _keyed(fps, masks)
     while True:
-        size = rows.groupBy("slot", "value").agg(F.count("*").alias("n"))
-        size = materialize(size.filter("n > 1"), "buckets") if level == 0 else size.filter("n > 1")
-        small = rows.join(size.filter(F.col("n") <= bucket).drop("n"), ["slot", "value"])
-        small = small.groupBy("slot", "value").agg(F.collect_list("fp").alias("fps")).select("fps")
+        # tables of their own: a join with a hot bucket is then one that adaptive execution splits
+        size = materialize(rows.groupBy("slot", "value").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+        placed = materialize(rows.join(size, ["slot", "value"]), "placed")
+        small = placed.filter(F.col("n") <= bucket).groupBy("slot", "value").agg(F.collect_list("fp").alias("fps")).select("fps")
         out = out.unionAll(small.mapInArrow(_links(k), "u long, v long"))
         hot = [r.slot for r in size.filter(F.col("n") > bucket).select("slot").distinct().collect()]
         if not hot:
             return out
         fine = {s: _finer(masks[s], k) for s in hot}
-        big = rows.join(size.filter(F.col("n") > bucket).drop("n"), ["slot", "value"]).select("slot", "fp")
+        big = placed.filter(F.col("n") > bucket).select("slot", "fp")
         masks = [x for s in hot for x in fine[s]]
         base = F.create_map(*[F.lit(x) for i, s in enumerate(hot) for x in (s, i * (k + 1))])
         table = F.array(*[F.lit(x) for x in masks])
         pick = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda j: F.struct((base[F.col("slot")] + j).alias("slot"), F.col("fp").bitwiseAND(F.get(table, base[F.col("slot")] + j)).alias("value")))
         rows = materialize(big.select("fp", F.explode(pick).alias("p")).select("p.slot", "p.value", "fp").distinct(), "finer")
-        level += 1
 
 
 def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
@@ -252,8 +308,9 @@ def near_duplicates(docs: DataFrame, k: int = DISTANCE) -> DataFrame:
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     roots = components(link_forest(classes.select("fp"), k)).withColumnRenamed("node", "fp")
     rooted = classes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = rooted.join(least, "root").select("fp", "component_id")
+    rooted = materialize(rooted, "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
+    member = materialize(rooted.join(least, "root").select("fp", "component_id"), "members")
     return marked.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
