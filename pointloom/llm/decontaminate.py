@@ -1,12 +1,20 @@
-"""Benchmark decontamination by exact windows, without a stored index.
+"""Benchmark decontamination over a distributed positional inverted index.
 
-Each task turns the words of its documents into ids of test terms and scans
-them; no postings are stored, and there is no proximity match.
-The test windows are sent to every task; a window is looked up at its rarest
-term (by frequency over *all* documents) and the candidates are compared with
-the next-rarest terms at their offsets in turn.  Windows
-travel in blocks of a bounded number, so the size of a broadcast does not
-follow the benchmark: a larger benchmark takes more passes.
+The index is a table of segments, about a megabyte of text each.  A segment has
+the terms of its documents and, for each term, the list of its postings (word
+positions, ascending); it does not depend on the benchmark and can be kept.
+
+Test windows are sent to the segments in blocks of a bounded number, so the size
+of a broadcast does not follow the benchmark: a larger one takes more passes over
+the index, never over the texts.  The frequency of a test term is the sum of its
+list lengths over all segments.  For each window whose terms a segment has all
+of, the list of its rarest term, less its offset, is intersected with the
+offset-adjusted list of the next rarest one, and so on: what is left is where
+the phrase stands.  Terms are compared by their letters (``words.exact_pairs``).
+
+Proximity: with ``slack``, a window also matches near a place where at least all
+but ``missing`` of its words stand within ``slack`` words of where the phrase
+would have them, when it is laid there by one of its two rarest words.
 
 Defined results: a null or wordless text has no words, no hits, no items; an
 item without an id or without words is ignored; repeated items count once;
@@ -19,38 +27,85 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .scratch import materialize
-from .words import ALNUM, U64, chunks, covered, runs
+from .words import ALNUM, chunks, covered, runs, scramble
 
-#: Windows in one broadcast block: 10 words of 8 bytes and the lookup tables, about 40 MB at most.
+#: Windows in one broadcast block: 10 words of 16 bytes and the lookup tables, about 60 MB at most.
 BLOCK_WINDOWS = 200_000
-_CANDIDATES = 1 << 21
+_CANDIDATES = 1 << 20
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _binary(*arrays: np.ndarray) -> list[pa.Array]:
+    return [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in arrays]
+
+
+def _by_term(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): words by hash, then letters, then position, and where each term begins in that order."""
+    h = scramble(a, b)
+    order = np.argsort(h, kind="stable")
+    for k in range(2):
+        x, y, z = h[order], a[order], b[order]
+        other = (y[1:] != y[:-1]) | (z[1:] != z[:-1])
+        if k or not (other & (x[1:] == x[:-1])).any():
+            break
+        order = np.lexsort((b, a, h))  # two terms with one hash
+    return order, np.flatnonzero(np.concatenate([[True], other])) if len(order) else order
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """(segment, ids, starts, terms, counts, postings) of the rows (doc_id, text) of ``docs``.
+
+    ``starts`` are the first words of the documents and the number of all words,
+    ``terms`` 16 bytes each by hash, ``counts`` their list lengths, ``postings``
+    the lists one after another.
+    """
+    kind = docs.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for c in chunks(batch.column(1), ALNUM, lower=True):
+                a, b = c.identities()
+                order, first = _by_term(a, b)
+                one = order[first]
+                ids = pa.ListArray.from_arrays(pa.array([0, c.rows], pa.int32()), batch.column(0).slice(c.first, c.rows))
+                body = _binary(c.word_offsets.astype("<i8"), np.stack([a[one], b[one]], axis=1), np.diff(np.append(first, len(order))).astype("<i4"), order.astype("<i4"))
+                yield pa.RecordBatch.from_arrays([pa.array([segment]), ids, *body], ["segment", "ids", "starts", "terms", "counts", "postings"])
+                segment += 1
+
+    fields = [("segment", T.LongType()), ("ids", T.ArrayType(kind))] + [(c, T.BinaryType()) for c in ("starts", "terms", "counts", "postings")]
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
+
+
+def _column(batch: pa.RecordBatch, i: int, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(batch.column(batch.schema.get_field_index(name))[i].as_buffer(), dtype=kind)
 
 
 def test_windows(benchmark: DataFrame, n: int) -> DataFrame:
-    """(item_id, window array<long>): word hashes of every window of ``n`` words; a shorter item is one window."""
-    kind = benchmark.schema["item_id"].dataType
+    """(item_id, win binary): the words of every window of ``n`` words, 16 bytes each; a shorter item is one window."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out_rows, out = batch.column(0), [], []
+            ids, rows, out = batch.column(0), [], []
             for c in chunks(batch.column(1), ALNUM, lower=True):
-                h = c.hashes().view(np.int64)
+                pairs = np.stack(c.identities(), axis=1)
                 for r in range(c.rows):
                     a, b = c.word_offsets[r], c.word_offsets[r + 1]
                     if b > a:
-                        found = {h[i : min(i + n, b)].tobytes() for i in range(a, max(a + 1, b - n + 1))}
-                        out_rows += [c.first + r] * len(found)
+                        found = {pairs[i : min(i + n, b)].tobytes() for i in range(a, max(a + 1, b - n + 1))}
+                        rows += [c.first + r] * len(found)
                         out += found
-            lists = pa.array([np.frombuffer(w, dtype=np.int64) for w in out], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(out_rows, pa.int64())), lists], ["item_id", "win"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(out, pa.binary())], ["item_id", "win"])
 
-    schema = T.StructType([T.StructField("item_id", kind), T.StructField("win", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("item_id", benchmark.schema["item_id"].dataType), T.StructField("win", T.BinaryType())])
     return benchmark.select("item_id", "text").filter("item_id is not null").mapInArrow(cut, schema)
 
 
@@ -60,165 +115,243 @@ class _Windows:
     def __init__(self, rows: list, n: int):
         by: dict[bytes, list] = {}
         for item, win in rows:
-            by.setdefault(np.array(win, dtype=np.int64).tobytes(), []).append(item)
-        seqs = [np.frombuffer(w, dtype=np.int64).view(U64) for w in by]
+            by.setdefault(bytes(win), []).append(item)
         self.items = [sorted(set(v), key=str) for v in by.values()]
-        self.lengths = np.array([len(s) for s in seqs], dtype=np.int64)
-        self.vocabulary = np.unique(np.concatenate(seqs)) if seqs else np.zeros(0, dtype=U64)
-        self.terms = np.zeros((len(seqs), n), dtype=np.int64)
-        for k, s in enumerate(seqs):
-            self.terms[k, : len(s)] = np.searchsorted(self.vocabulary, s)
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[(self.vocabulary & U64(0xFFFFF)).astype(np.int64)] = True
+        self.lengths = np.array([len(w) // 16 for w in by], dtype=np.int64)
+        pairs = np.frombuffer(b"".join(by), dtype="<u8").reshape(-1, 2)
+        order, first = _by_term(pairs[:, 0], pairs[:, 1])
+        self.vocabulary = pairs[order[first]]
+        self.hashes = scramble(self.vocabulary[:, 0], self.vocabulary[:, 1])
+        term = np.empty(len(pairs), dtype=np.int64)
+        term[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        self.inside = np.arange(n) < self.lengths[:, None]
+        self.terms = np.zeros((len(by), n), dtype=np.int64)
+        self.terms[self.inside] = term
 
     def rank(self, frequency: np.ndarray) -> None:
-        """Order each window's places from its rarest term on; file windows under that term."""
-        k, n = self.terms.shape
-        weight = np.where(np.arange(n) < self.lengths[:, None], frequency[self.terms], np.iinfo(np.int64).max)
-        self.order = np.argsort(weight, axis=1, kind="stable")
-        self.order = np.where(np.arange(n) < self.lengths[:, None], self.order, self.order[:, :1])
-        anchor = self.terms[np.arange(k), self.order[:, 0]]
-        self.by_anchor = np.argsort(anchor, kind="stable")
-        self.first = np.searchsorted(anchor[self.by_anchor], np.arange(len(self.vocabulary) + 1))
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Term of each word, or -1."""
-        out = np.full(len(hashes), -1, dtype=np.int64)
-        near = np.flatnonzero(self.maybe[(hashes & U64(0xFFFFF)).astype(np.int64)])
-        if len(near):
-            at = np.searchsorted(self.vocabulary, hashes[near])
-            at[at == len(self.vocabulary)] = 0
-            same = self.vocabulary[at] == hashes[near]
-            out[near[same]] = at[same]
+        """Order each window's places from its rarest term on."""
+        weight = np.where(self.inside, frequency[self.terms], np.iinfo(np.int64).max)
+        order = np.argsort(weight, axis=1, kind="stable")
+        # a short window repeats its rarest place
+        self.order = np.where(self.inside, order, order[:, :1])
+
+    def local(self, terms: np.ndarray) -> np.ndarray:
+        """Place of each vocabulary term among a segment's terms, or -1."""
+        out = np.full(len(self.vocabulary), -1, dtype=np.int64)
+        if not len(terms):
+            return out
+        h = scramble(terms[:, 0], terms[:, 1])
+        at = np.searchsorted(h, self.hashes)
+        on = np.arange(len(at))
+        while len(on := on[at[on] < len(h)]) and len(on := on[h[at[on]] == self.hashes[on]]):
+            same = (terms[at[on]] == self.vocabulary[on]).all(axis=1)
+            out[on[same]] = at[on[same]]
+            on = on[~same]
+            at[on] += 1  # another term with the same hash
         return out
 
-    def matches(self, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, window) of every occurrence; low and high bound the document of each word."""
-        known = np.flatnonzero(ids >= 0)
-        size = np.diff(self.first)[ids[known]]
-        known, size = known[size > 0], size[size > 0]
-        starts, wins = [], []
-        ends = np.cumsum(size)
+
+class _Segment:
+    """The posting lists of a segment, ready to be intersected with test windows."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, w: _Windows):
+        self.starts = _column(batch, i, "starts", "<i8")
+        self.local = w.local(_column(batch, i, "terms", "<u8").reshape(-1, 2))
+        self.counts = _column(batch, i, "counts", "<i4").astype(np.int64)
+        self.postings = _column(batch, i, "postings", "<i4").astype(np.int64)
+        self.offsets = np.cumsum(self.counts) - self.counts
+        self.size = len(self.postings) + 1
+        #: Sorted: one number for each posting of each term.
+        self.keys = np.repeat(np.arange(len(self.counts)), self.counts) * self.size + self.postings
+
+    def lists(self, win: np.ndarray, term: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, posting) of the whole list of one term for each window, a bounded number at a time."""
+        n = self.counts[term]
+        ends = np.cumsum(n)
         a = 0
-        while a < len(known):
+        while a < len(win):
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _CANDIDATES, side="right")))
-            p, s = known[a:b], size[a:b]
-            place = np.repeat(p, s)
-            inner = np.arange(len(place)) - np.repeat(np.cumsum(s) - s, s)
-            win = self.by_anchor[np.repeat(self.first[ids[p]], s) + inner]
-            start = place - self.order[win, 0]
-            ok = (start >= low[place]) & (start + self.lengths[win] <= high[place])
-            start, win = start[ok], win[ok]
-            for j in range(1, self.terms.shape[1]):
-                if not len(start):
-                    break
-                o = self.order[win, j]
-                ok = ids[start + o] == self.terms[win, o]
-                start, win = start[ok], win[ok]
-            starts.append(start)
-            wins.append(win)
+            each = np.repeat(np.arange(a, b), n[a:b])
+            inner = np.arange(len(each)) - np.repeat(ends[a:b] - n[a:b] - (ends[a - 1] if a else 0), n[a:b])
+            yield win[each], self.postings[self.offsets[term[each]] + inner]
             a = b
+
+    def has(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether the list of each term has a posting from ``low`` to ``high``."""
+        at = np.searchsorted(self.keys, term * self.size + low)
+        out = (at < len(self.keys)) & (low <= high)
+        out[out] = self.keys[at[out]] <= (term * self.size + high)[out]
+        return out
+
+    def phrases(self, w: _Windows) -> tuple[np.ndarray, np.ndarray]:
+        """(window, start) wherever all words of a window stand in a document in their order."""
+        term = self.local[w.terms]
+        live = np.flatnonzero(((term >= 0) | ~w.inside).all(axis=1))
+        found = []
+        for win, place in self.lists(live, term[live, w.order[live, 0]]):
+            start = place - w.order[win, 0]
+            row = np.searchsorted(self.starts, place, side="right") - 1
+            ok = (start >= self.starts[row]) & (start + w.lengths[win] <= self.starts[row + 1])
+            win, start = win[ok], start[ok]
+            for j in range(1, w.terms.shape[1]):
+                if not len(win):
+                    break
+                o = w.order[win, j]
+                ok = self.has(term[win, o], start + o, start + o)
+                win, start = win[ok], start[ok]
+            found.append((win, start))
         none = np.zeros(0, dtype=np.int64)
-        return (np.concatenate(starts), np.concatenate(wins)) if starts else (none, none)
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none)
+
+    def near(self, w: _Windows, slack: int, missing: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, start, document): proximity matches that are not phrases."""
+        term = np.where(w.inside, self.local[w.terms], -1)
+        enough = (term >= 0).sum(axis=1) >= w.lengths - missing
+        found = []
+        for anchor in range(min(2, w.terms.shape[1])):
+            o = w.order[:, anchor]
+            live = np.flatnonzero(enough & (term[np.arange(len(o)), o] >= 0))
+            for win, place in self.lists(live, term[live, o[live]]):
+                start = place - o[win]
+                row = np.searchsorted(self.starts, place, side="right") - 1
+                gone, moved = np.zeros(len(win), dtype=np.int64), np.zeros(len(win), dtype=bool)
+                for j in range(w.terms.shape[1]):
+                    t, inside = term[win, j], w.inside[win, j]
+                    low, high = self.starts[row], self.starts[row + 1] - 1
+                    here = start + j
+                    close = (t >= 0) & self.has(np.maximum(t, 0), np.maximum(here - slack, low), np.minimum(here + slack, high))
+                    moved |= inside & ~((t >= 0) & self.has(np.maximum(t, 0), np.maximum(here, low), np.minimum(here, high)))
+                    gone += inside & ~close
+                    ok = gone <= missing
+                    win, start, row, gone, moved = (x[ok] for x in (win, start, row, gone, moved))
+                found.append((win[moved], start[moved], row[moved]))
+        none = np.zeros(0, dtype=np.int64)
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none, none)
+
+    def matches(self, w: _Windows, slack: int | None, missing: int) -> dict[int, tuple[list, list, list]]:
+        """By document of the segment: matched items, [start, end) of each phrase, and (item, start, end) of proximity matches."""
+        out: dict[int, tuple[list, list, list]] = {}
+        win, start = self.phrases(w)
+        row = np.searchsorted(self.starts, start, side="right") - 1
+        for r in np.unique(row).tolist():
+            own = row == r
+            s = start[own] - self.starts[r]
+            a, z = runs(covered(int(self.starts[r + 1] - self.starts[r]), s, s + w.lengths[win[own]]))
+            out[r] = (sorted({x for k in np.unique(win[own]) for x in w.items[k]}, key=str), list(zip(a.tolist(), z.tolist())), [])
+        if slack is not None:
+            win, start, row = self.near(w, slack, missing)
+            for r, k, s in {*zip(row.tolist(), win.tolist(), start.tolist())}:
+                s -= int(self.starts[r])
+                out.setdefault(r, ([], [], []))[2].extend((item, s, s + int(w.lengths[k])) for item in w.items[k])
+        return out
 
 
-def _frequencies(docs: DataFrame, block) -> np.ndarray:
+def _frequencies(index: DataFrame, block) -> np.ndarray:
     """How often each term of the block occurs in all documents; at most one row per term reaches the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = block.value
         total = np.zeros(len(w.vocabulary), dtype=np.int64)
         for batch in batches:
-            for c in chunks(batch.column(0), ALNUM, lower=True):
-                ids = w.ids(c.hashes())
-                total += np.bincount(ids[ids >= 0], minlength=len(total))
+            for i in range(batch.num_rows):
+                at = w.local(_column(batch, i, "terms", "<u8").reshape(-1, 2))
+                total[at >= 0] += _column(batch, i, "counts", "<i4")[at[at >= 0]]
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["term", "n"])
 
     out = np.zeros(len(block.value.vocabulary), dtype=np.int64)
-    for r in docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in index.select("terms", "counts").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r.term] = r.n
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: tuple[str, ...] = (), block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Exact phrase matches of the benchmark in every document.
+def search(index: DataFrame, benchmark: DataFrame, n: int = 10, slack: int | None = None, missing: int = 1, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """Matches of the benchmark's windows in the documents of an index.
 
-    Returns per row of ``docs``: doc_id, the columns ``keep``, n_words, n_hit
-    (words inside any match), items (array of matched item ids) and spans
-    (array of [start, end) in words, merged where they touch).
+    Returns per document: doc_id, n_words, n_hit (words inside any phrase match),
+    items (array of matched item ids) and spans (array of [start, end) in words,
+    merged where they touch); with ``slack`` also near (array of item, start and
+    end of proximity matches).
     """
-    spark = docs.sparkSession
+    spark = index.sparkSession
     wins = test_windows(benchmark, n)
-    total = wins.count()
-    blocks = max(1, -(-total // block_windows))
-    item_type = benchmark.schema["item_id"].dataType
-    fields = [docs.schema[c] for c in dict.fromkeys(["doc_id", *keep, "text"])]
-    names = [f.name for f in fields]
-    state = T.StructType([
-        *fields,
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("items", T.ArrayType(item_type)),
-        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-    ])
-    out = docs.select(*names)
-    for b in range(blocks):
-        part = wins if blocks == 1 else wins.filter(F.pmod(F.xxhash64("item_id", "win"), F.lit(blocks)) == b)
-        block_obj = _Windows([(r.item_id, r.win) for r in part.toLocalIterator()], n)
-        if len(block_obj.vocabulary):
-            counted = spark.sparkContext.broadcast(block_obj)
-            block_obj.rank(_frequencies(docs, counted))
-        block = spark.sparkContext.broadcast(block_obj)
-        last = b == blocks - 1
-        out = out.mapInArrow(_search(block, names, b > 0, not last or "text" in keep, pa.list_(to_arrow_type(item_type))), state if not last or "text" in keep else T.StructType([f for f in state if f.name != "text"]))
-        if not last:
-            out = materialize(out, "decontaminate")
-    return out
-
-
-def _search(block, names: list[str], again: bool, with_text: bool, item_lists: pa.DataType):
-    """One pass: add the matches of a block to what earlier passes found."""
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = block.value
+    blocks = max(1, -(-wins.count() // block_windows))
+    item = benchmark.schema["item_id"].dataType
+    near = T.ArrayType(T.StructType([T.StructField("item_id", item), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    results = [("doc_id", index.schema["ids"].dataType.elementType), ("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(item)), ("spans", _SPANS), ("near", near)]
+    found = [("segment", T.LongType()), ("row", T.IntegerType()), ("items", T.ArrayType(item)), ("spans", _SPANS), ("near", near)]
+    typed = lambda fields: T.StructType([T.StructField(*f) for f in fields])
+    kinds = to_arrow_type(T.ArrayType(item)), to_arrow_type(near)
+
+    def lists(items: list, spans: list, nears: list) -> list[pa.Array]:
+        return [pa.array(items, kinds[0]), pa.array([[{"start": a, "end": z} for a, z in s] for s in spans], _ARROW_SPANS), pa.array([[{"item_id": x, "start": a, "end": z} for x, a, z in s] for s in nears], kinds[1])]
+
+    def report(batch: pa.RecordBatch, i: int, matches: dict[int, tuple[list, list, list]]) -> pa.RecordBatch:
+        words = np.diff(_column(batch, i, "starts", "<i8"))
+        got = [matches.get(r, ([], [], [])) for r in range(len(words))]
+        hit = [sum(z - a for a, z in s) for _, s, _ in got]
+        ids = batch.column(batch.schema.get_field_index("ids"))[i].values
+        return pa.RecordBatch.from_arrays([ids, pa.array(words), pa.array(hit, pa.int64()), *lists([sorted(x, key=str) for x, _, _ in got], [s for _, s, _ in got], [sorted(s, key=str) for _, _, s in got])], [f for f, _ in results])
+
+    def at_once(block):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield report(batch, i, _Segment(batch, i, block.value).matches(block.value, slack, missing))
+
+        return run
+
+    def one_block(block):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    got = _Segment(batch, i, block.value).matches(block.value, slack, missing)
+                    rows = [pa.array([batch.column(0)[i].as_py()] * len(got), pa.int64()), pa.array(list(got), pa.int32())]
+                    yield pa.RecordBatch.from_arrays(rows + lists(*([x[k] for x in got.values()] for k in range(3))), [f for f, _ in found])
+
+        return run
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            n_words, n_hit, items, spans = [], [], [], []
-            before_spans = batch.column("spans").to_pylist() if again else None
-            before_items = batch.column("items").to_pylist() if again else None
-            for c in chunks(texts, ALNUM, lower=True):
-                counts, offsets = c.counts, c.word_offsets
-                if len(w.vocabulary):
-                    row = c.row_of_word()
-                    start, win = w.matches(w.ids(c.hashes()), offsets[row], offsets[row + 1])
-                else:
-                    row, start, win = c.row_of_word(), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-                by_row: dict[int, list[int]] = {}
-                for k, r in enumerate(row[start] if len(start) else ()):
-                    by_row.setdefault(int(r), []).append(k)
-                for r in range(c.rows):
-                    at = by_row.get(r, ())
-                    found, got = ([], set()) if not again else (before_spans[c.first + r], set(before_items[c.first + r]))
-                    if len(at):
-                        s = start[at] - offsets[r]
-                        e = s + w.lengths[win[at]]
-                        s = np.concatenate([s, [x["start"] for x in found]]).astype(np.int64)
-                        e = np.concatenate([e, [x["end"] for x in found]]).astype(np.int64)
-                        a, z = runs(covered(int(counts[r]), s, e))
-                        found = [{"start": int(x), "end": int(y)} for x, y in zip(a, z)]
-                        for k in np.unique(win[at]):
-                            got.update(w.items[k])
-                    n_words.append(int(counts[r]))
-                    n_hit.append(sum(x["end"] - x["start"] for x in found))
-                    spans.append(found)
-                    items.append(sorted(got, key=str))
-            cols = [batch.column(batch.schema.get_field_index(x)) for x in names if x != "text" or with_text]
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            cols += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, item_lists), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays(cols, [x for x in names if x != "text" or with_text] + ["n_words", "n_hit", "items", "spans"])
-
-    return search
+            for i in range(batch.num_rows):
+                words = np.diff(_column(batch, i, "starts", "<i8"))
+                all_of: dict[int, tuple[set, list, set]] = {}
+                for x in batch.column(batch.schema.get_field_index("found"))[i].as_py() or []:
+                    items, spans, nears = all_of.setdefault(x["row"], (set(), [], set()))
+                    items.update(x["items"])
+                    spans += [(s["start"], s["end"]) for s in x["spans"]]
+                    nears.update((s["item_id"], s["start"], s["end"]) for s in x["near"])
+                whole = {}
+                for r, (items, spans, nears) in all_of.items():
+                    s = np.array(spans, dtype=np.int64).reshape(-1, 2)
+                    a, z = runs(covered(int(words[r]), s[:, 0], s[:, 1]))
+                    whole[r] = (list(items), list(zip(a.tolist(), z.tolist())), list(nears))
+                yield report(batch, i, whole)
+
+    def sent(b: int):
+        part = wins if blocks == 1 else wins.filter(F.pmod(F.xxhash64("item_id", "win"), F.lit(blocks)) == b)
+        block = _Windows([(r.item_id, r.win) for r in part.toLocalIterator()], n)
+        if len(block.vocabulary):
+            block.rank(_frequencies(index, spark.sparkContext.broadcast(block)))
+        else:
+            block.order = block.terms
+        return spark.sparkContext.broadcast(block)
+
+    if blocks == 1:
+        out = index.mapInArrow(at_once(sent(0)), typed(results))
+    else:
+        hits = [materialize(index.mapInArrow(one_block(sent(b)), typed(found)), "matches") for b in range(blocks)]
+        every = hits[0]
+        for more in hits[1:]:
+            every = every.unionAll(more)
+        met = every.groupBy("segment").agg(F.collect_list(F.struct("row", "items", "spans", "near")).alias("found"))
+        out = index.select("segment", "ids", "starts").join(met, "segment", "left").mapInArrow(merged, typed(results))
+    return out if slack is not None else out.drop("near")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """:func:`search` of the benchmark in a new index of ``docs``."""
+    return search(materialize(build_index(docs), "postings"), benchmark, **options)
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:
