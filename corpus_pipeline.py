@@ -9,7 +9,7 @@ id cannot be named in another's result: near-dedup keeps it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm.decontaminate import find_contamination
@@ -29,6 +29,11 @@ def folded(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(None).cast("int")).alias(REST))
 
 
+def key() -> Column:
+    """What tells rows apart that repeat an id: the id and a hash of the text."""
+    return F.struct("doc_id", F.xxhash64("text").alias("hash"))
+
+
 def unfolded(out: DataFrame, docs: DataFrame) -> DataFrame:
     """``out`` with the columns of ``docs``."""
     return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col(REST).getField(c).alias(c) for c in docs.columns])
@@ -44,22 +49,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
     rows = folded(docs)
-    found = materialize(near_duplicates(rows), "groups")
-    keepers = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    if keepers.filter("_rows > 1").isEmpty():
-        kept = rows.join(keepers.drop("_rows"), "doc_id", "left_semi")
-    else:  # rows that repeat an id and a text count as one document
-        marked = rows.join(keepers, "doc_id").withColumn("_hash", F.xxhash64("text"))
-        once = marked.filter("_rows > 1").dropDuplicates(["doc_id", "_hash"])
-        kept = marked.filter("_rows = 1").unionByName(once).select("doc_id", "text", REST)
+    found = near_duplicates(rows.filter("doc_id is not null").select(key().alias("doc_id"), "text"))
+    keepers = materialize(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id.*", "n"), "keepers")
+    marked = rows.withColumn("hash", F.xxhash64("text")).join(keepers, ["doc_id", "hash"])
+    kept = marked.filter("n = 1").drop("n", "hash")
+    if not keepers.filter("n > 1").isEmpty():  # rows that repeat an id and a text count as one document
+        kept = kept.unionByName(marked.filter("n > 1").dropDuplicates(["doc_id", "hash"]).drop("n", "hash"))
     return unfolded(kept.unionByName(rows.filter("doc_id is null")), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark phrase go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = find_contamination(folded(docs), benchmark, keep=("text", REST))
-    return unfolded(found.filter("n_hit = 0"), docs)
+    found = find_contamination(docs.select(key().alias("doc_id"), "text"), benchmark)
+    hit = materialize(found.filter("n_hit > 0").select(F.col("doc_id.doc_id").alias("hit_id"), F.col("doc_id.hash").alias("hit_hash")).distinct(), "hit")
+    rows = folded(docs).withColumn("hash", F.xxhash64("text"))
+    return unfolded(rows.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("hash") == F.col("hit_hash")), "left_anti"), docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
