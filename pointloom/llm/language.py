@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .toxicity import fold
+from .toxicity import fold, sampled
 
 DIMENSIONS, MAX_TRAIN = 512, 20_000
 _CHUNK = 1 << 20
@@ -102,8 +102,7 @@ def profiles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 def learn(docs: DataFrame, max_train: int = MAX_TRAIN, folds: int = 3, held_out: int = 1) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes, from documents outside the held-out fold."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
-    share = min(1.0, max_train / max(1, known.count()))
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "lang")
+    picked = known.filter(sampled(F.col("doc_id"), max_train, known.count())).select("text", "lang")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

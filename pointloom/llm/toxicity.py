@@ -8,8 +8,10 @@ best are kept, by counts that Spark takes, and a factorization machine learns th
 latent vectors, their pairwise interactions (an insult together with a group
 mention).  Scoring is one narrow pass that looks terms up in a small table.
 
-Bounds: ``max_train`` labelled documents are sampled by a hash of their id and
-``n_terms`` terms are kept; both are parameters.  Nothing else is sampled.
+Bounds: ``max_train`` labelled documents are sampled by a hash of their id;
+``n_terms`` is the width of the model, which takes the same ``steps`` of training
+whatever the number of rows; all are parameters.  Nothing else is sampled, and
+every document is scored from all its words.
 
 Defined results: a null, empty or wordless text gets the score of no term;
 without labelled rows, or with labels of one class only, every score is that
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .scratch import materialize
 from .words import ALNUM, U64, Chunk, chunks
 
-MAX_TRAIN, N_TERMS, FACTORS, EPOCHS = 12_000, 2048, 8, 24
+MAX_TRAIN, N_TERMS, FACTORS, STEPS, BATCH = 12_000, 2048, 8, 1200, 256
 _BUCKETS = U64((1 << 26) - 1)
 
 
@@ -37,6 +39,11 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(n))
 
 
+def sampled(key: Column, want: int, of: int) -> Column:
+    """True for about ``want`` of ``of`` rows, by a 63-bit hash of their key; for all if there are no more."""
+    return F.lit(True) if of <= want else F.shiftrightunsigned(F.xxhash64(key), 1) < F.lit((want << 63) // of)
+
+
 def _terms(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """(row, term) of every word and opening of a chunk; hashed to 2**26 buckets."""
     row = c.row_of_word()
@@ -87,7 +94,7 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
     @classmethod
-    def fit(cls, terms: np.ndarray, row: np.ndarray, place: np.ndarray, y: np.ndarray, k: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> FactorizationMachine:
+    def fit(cls, terms: np.ndarray, row: np.ndarray, place: np.ndarray, y: np.ndarray, k: int = FACTORS, steps: int = STEPS, seed: int = 7) -> FactorizationMachine:
         """``terms``: features, sorted; (row, place): which rows have which of them; ``y``: labels."""
         share = p = float(y.mean()) if len(y) else 0.0
         if share in (0.0, 1.0):
@@ -98,23 +105,22 @@ class FactorizationMachine:
         rng = np.random.default_rng(seed)
         params = [np.array([np.log(p / (1 - p))]), np.zeros(len(best)), rng.normal(0, 0.02, (len(best), k))]
         first, second = [np.zeros_like(a) for a in params], [np.zeros_like(a) for a in params]
-        step = 0
-        for _ in range(max(epochs, min(400, 60_000 // n))):
-            order = rng.permutation(n)
-            for a in range(0, n, 256):
-                at = order[a : a + 256]
-                xb = x[at].astype(np.float64)
-                bias, w, v = params
-                xv = xb @ v
-                z = bias + xb @ w + 0.5 * (xv**2 - xb @ v**2).sum(axis=1)
-                g = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[at]) / len(at)
-                gx = xb.T @ g
-                grads = [np.array([g.sum()]), gx + 1e-4 * w, xb.T @ (g[:, None] * xv) - v * gx[:, None] + 1e-3 * v]
-                step += 1
-                for q, gr, m1, m2 in zip(params, grads, first, second):
-                    m1 += 0.1 * (gr - m1)
-                    m2 += 0.01 * (gr**2 - m2)
-                    q -= 0.02 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+        order = np.zeros(0, dtype=np.int64)
+        for step in range(1, steps + 1):
+            while len(order) < BATCH:
+                order = np.concatenate([order, rng.permutation(n)])
+            at, order = order[:BATCH], order[BATCH:]
+            xb = x[at].astype(np.float64)
+            bias, w, v = params
+            xv = xb @ v
+            z = bias + xb @ w + 0.5 * (xv**2 - xb @ v**2).sum(axis=1)
+            g = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[at]) / len(at)
+            gx = xb.T @ g
+            grads = [np.array([g.sum()]), gx + 1e-4 * w, xb.T @ (g[:, None] * xv) - v * gx[:, None] + 1e-3 * v]
+            for q, gr, m1, m2 in zip(params, grads, first, second):
+                m1 += 0.1 * (gr - m1)
+                m2 += 0.01 * (gr**2 - m2)
+                q -= 0.02 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         return cls(best, float(params[0][0]), params[1], params[2])
 
 
@@ -133,10 +139,10 @@ def select_terms(lists: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, max_train: int = MAX_TRAIN, n_terms: int = N_TERMS, **fit) -> FactorizationMachine:
     """Fit on at most about ``max_train`` labelled documents outside the held-out fold."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(fold(F.col("doc_id"), folds) != held_out)
-    share = min(1.0, max_train / max(1, known.count()))
     # at most about max_train rows: small enough to send to every executor
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    lists = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").mapInArrow(_sparse, "terms array<int>, toxic int"), "terms")
+    picked = known.filter(sampled(F.col("doc_id"), max_train, known.count()))
+    lists = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").mapInArrow(_sparse, "terms array<int>, toxic int")
+    lists = materialize(lists.hint("rebalance"), "terms")  # a few files, not one per task of the scan
     best, n = select_terms(lists, n_terms)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
