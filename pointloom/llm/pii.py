@@ -1,14 +1,16 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
 1. Base kinds (e-mail, IP, card, phone) are found by their patterns.
-2. Every identifier-like token (one with a digit) that is no base span is a
-   candidate; the words around candidates and around base spans, and a ``key=``
-   in front of them, are their cues (lexical patterns).
+2. Every identifier-like token (one with a digit, or any value behind ``key=``)
+   that is no base span is a candidate; the words around candidates and around
+   base spans, and a ``key=`` in front of them, are their cues (lexical patterns).
 3. On the bipartite graph of cues and values, seeds (base values, and values of
    the formats in ``seed_formats``) have confidence 1.  A cue's confidence is the
    mean confidence of its distinct values, if enough are trusted; a value's
-   confidence combines its cues' (1 - product of doubts).  After some rounds the
-   values of trusted cues are reported as kind ``id``.
+   confidence combines its cues' (1 - product of doubts).  Rounds go on until the
+   cues and their confidences, which only grow, are as in the round before.  Seeds
+   and the values of trusted cues are reported as kind ``id``.  No cue is given:
+   every one is induced by seeds.
 
 Mentions travel as arrays beside the document's id and a hash of its text; the
 graph is reduced by (cue, value) before it is reduced by cue, so a cue or value
@@ -37,12 +39,12 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: A token with a digit, from white space or a quote on; quotes and brackets end it.
-TOKEN = r"(?<![^\s\"'<>()\[\]{},;])[^\s\"'<>()\[\]{},;0-9]*+[0-9][^\s\"'<>()\[\]{},;]*+"
-SEED_FORMATS = (r"^AKIA[0-9A-Z]{16}$",)
-#: Cues trusted from the start, beside what the seeds induce.
-SEED_CUES = ("k<password=", "k<token=", "k<secret=", "2<token =")
-_BLOCK = 512
+#: A token with a digit or with ``key=`` in front, from white space or a quote on; quotes and brackets end it.
+TOKEN = r"(?<![^\s\"'<>()\[\]{},;])(?:[^\s\"'<>()\[\]{},;0-9]*+[0-9]|[A-Za-z_][A-Za-z_.-]*+=(?=[^\s\"'<>()\[\]{},;=]))[^\s\"'<>()\[\]{},;]*+"
+#: Formats of values that are secrets wherever they stand: access keys, and digests or keys in hexadecimal.
+SEED_FORMATS = (r"^AKIA[0-9A-Z]{16}$", r"^(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,64}$")
+#: Entries that one sum covers; sums of sums cover as many sums.
+_WIDTH = 32
 #: Code points in a piece of text when spans are masked, and pieces looked up together.
 _PIECE, _PIECES = 256, 64
 
@@ -80,25 +82,30 @@ def _checked(kind: str) -> Column:
 def with_matches(df: DataFrame, name: str, pattern: str, trigger: Column, text: str = "text") -> DataFrame:
     """Add ``name``: array of (start, end, value, left, right) of the pattern's matches, in code points.
 
-    Positions are prefix sums of the gaps that ``split`` leaves, taken in
-    blocks; left and right are the text of the gaps next to the match.
+    Positions are prefix sums of the gaps that ``split`` leaves, from sums of
+    growing width, so that each takes a bounded number of steps; left and right
+    are the text of the gaps next to the match.
     """
     none = F.array().cast("array<string>")
-    m, g, s, b = (f"_{name}_{x}" for x in "mgsb")
+    m, g, *levels = (f"_{name}_{x}" for x in ("m", "g", "s0", "s1", "s2", "s3"))
     df = df.withColumn(m, F.when(trigger, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
     df = df.withColumn(g, F.when(F.size(m) > 0, F.split(text, pattern, -1)))
-    df = df.withColumn(s, F.transform(m, lambda x, i: F.length(F.get(g, i)) + F.length(x)))
+    df = df.withColumn(levels[0], F.transform(m, lambda x, i: F.length(F.get(g, i)) + F.length(x)))
     total = lambda a: F.aggregate(a, F.lit(0), lambda t, x: t + x)
-    df = df.withColumn(b, F.when(F.size(m) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / _BLOCK).cast("int")), lambda k: total(F.slice(s, k * _BLOCK + 1, F.lit(_BLOCK))))))
+    for low, high in zip(levels, levels[1:]):
+        df = df.withColumn(high, F.when(F.size(low) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(low) - 1) / _WIDTH).cast("int")), lambda k: total(F.slice(low, k * _WIDTH + 1, F.lit(_WIDTH))))))
 
     def place(x: Column, i: Column) -> Column:
-        block = F.floor(i / _BLOCK).cast("int")
-        before = total(F.slice(b, F.lit(1), block)) + total(F.slice(s, block * _BLOCK + 1, i % _BLOCK)) + F.length(F.get(g, i))
+        before, at = F.length(F.get(g, i)), i
+        for level in levels[:-1]:
+            up = F.floor(at / _WIDTH).cast("int")
+            before, at = before + total(F.slice(level, up * _WIDTH + 1, at % _WIDTH)), up
+        before = before + total(F.slice(levels[-1], F.lit(1), at))
         left, right = F.substring(F.get(g, i), -60, 60), F.substring(F.get(g, i + 1), 1, 40)
         return F.struct(before.alias("start"), x.alias("value"), left.alias("left"), right.alias("right"))
 
     ends = lambda x: F.struct(x["start"], (x["start"] + F.length(x["value"])).alias("end"), x["value"], x["left"], x["right"])
-    return df.withColumn(name, F.transform(F.transform(m, place), ends)).drop(m, g, s, b)
+    return df.withColumn(name, F.transform(F.transform(m, place), ends)).drop(m, g, *levels)
 
 
 def _blanked(kind: str, text: str) -> Column:
@@ -136,14 +143,15 @@ def mentions(docs: DataFrame, seed_formats: tuple[str, ...] = SEED_FORMATS) -> D
         df = df.withColumn(kind, _checked(kind))
     df = df.withColumn("_base", F.concat(*KINDS))
     # candidates come from the text without base spans, so they never overlap one
-    df = df.withColumn("_free", F.when(F.col("_digit"), F.col("text")).otherwise(""))
+    df = df.withColumn("_keyed", F.col("_digit") | F.contains("text", F.lit("=")))
+    df = df.withColumn("_free", F.when(F.col("_keyed"), F.col("text")).otherwise(""))
     for kind in KINDS:
         df = df.withColumn("_free", F.when(F.size(kind) > 0, _blanked(kind, "_free")).otherwise(F.col("_free")))
-    df = with_matches(df, "token", TOKEN, F.col("_digit"), "_free")
+    df = with_matches(df, "token", TOKEN, F.col("_keyed"), "_free")
     # key=value: the key is a cue, the value the identifier; marks at the end belong to the sentence
     parts = r"^([A-Za-z_][A-Za-z_.-]*[=:](?=[^=:]))?(.*?)[^A-Za-z0-9]*$"
     split = lambda x: F.struct(F.regexp_extract(x["value"], parts, 1).alias("key"), F.regexp_extract(x["value"], parts, 2).alias("value"), x["start"], x["left"], x["right"])
-    df = df.withColumn("token", F.filter(F.transform("token", split), lambda x: (F.length(x["value"]) >= 6) & x["value"].rlike("[0-9]")))
+    df = df.withColumn("token", F.filter(F.transform("token", split), lambda x: F.when(x["key"] != "", F.length(x["value"]) >= 4).otherwise((F.length(x["value"]) >= 6) & x["value"].rlike("[0-9]"))))
     seed = lambda v: F.lit(False) if not seed_formats else v.rlike("|".join(f"(?:{f})" for f in seed_formats))
     own = F.transform("_base", lambda x: F.struct(x["start"], x["end"], x["value"], F.lit(True).alias("base"), F.lit(True).alias("seed"), _cues(x).alias("cues")))
 
@@ -157,25 +165,25 @@ def mentions(docs: DataFrame, seed_formats: tuple[str, ...] = SEED_FORMATS) -> D
     return df.select("doc_id", F.xxhash64("text").alias("text_hash"), *[short(k).alias(k) for k in KINDS], F.concat("_own", "_other").alias("marks"))
 
 
-def trusted_cues(found: DataFrame, rounds: int = 3, least: float = 0.5, support: int = 3, seed_cues: tuple[str, ...] = SEED_CUES) -> DataFrame:
+def trusted_cues(found: DataFrame, least: float = 0.5, support: int = 3) -> DataFrame:
     """(cue): cues whose distinct values are trusted on average by ``least``, at least ``support`` of them."""
     pairs = found.select(F.explode("marks").alias("m")).select("m.value", "m.seed", F.explode("m.cues").alias("cue"))
     edges = materialize(pairs.groupBy("cue", "value").agg(F.max("seed").alias("seed")), "cues")
     # a cue of a single value, or of too few, can never be trusted
-    wide = edges.groupBy("cue").agg(F.count("*").alias("n")).filter(F.col("n") >= support).drop("n")
+    wide = materialize(edges.groupBy("cue").agg(F.count("*").alias("n")).filter(F.col("n") >= support).drop("n"), "wide")
     edges = materialize(edges.join(wide, "cue"), "graph")
-    given = found.sparkSession.createDataFrame([(c,) for c in seed_cues], "cue string")
-    trust = edges.withColumn("trust", F.col("seed").cast("double"))
-    for k in range(rounds):
-        cues = trust.groupBy("cue").agg(F.avg("trust").alias("conf"), F.sum(F.when(F.col("trust") >= least, 1).otherwise(0)).alias("n"))
-        cues = cues.filter((F.col("conf") >= least) & (F.col("n") >= support)).select("cue", "conf")
-        if k == rounds - 1:
-            return materialize(cues.select("cue").unionByName(given).distinct(), "trusted")
-        # logarithms of doubt are rounded to whole millionths, so that sums do not depend on order
-        doubt = F.sum(F.round(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-6))) * 1e6).cast("long"))
-        value = edges.join(cues, "cue").groupBy("value").agg((1 - F.exp(doubt / 1e6)).alias("by_cues"))
+    trust, before = edges.withColumn("trust", F.col("seed").cast("double")), None
+    while True:
+        # confidences are whole thousandths and doubts whole millionths, so that sums do not depend on order
+        cues = trust.groupBy("cue").agg((F.sum(F.round(F.col("trust") * 1e6).cast("long")) / F.count("*") / 1e3).cast("int").alias("conf"), F.sum(F.when(F.col("trust") >= least, 1).otherwise(0)).alias("n"))
+        cues = materialize(cues.filter((F.col("conf") >= least * 1000) & (F.col("n") >= support)).select("cue", "conf"), "trusted")
+        mark = cues.agg(F.count("*"), F.sum("conf")).first()
+        if mark == before or not mark[0]:
+            return cues.select("cue")
+        before = mark
+        doubt = F.sum(F.round(F.log(F.greatest(1 - F.col("conf") / 1000, F.lit(1e-6))) * 1e6).cast("long"))
+        value = materialize(edges.filter("not seed").join(cues, "cue").groupBy("value").agg((1 - F.exp(doubt / 1e6)).alias("by_cues")), "values")
         trust = materialize(edges.join(value, "value", "left").select("cue", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("by_cues", F.lit(0.0))).alias("trust")), "trust")
-    raise ValueError("rounds must be positive")
 
 
 def find_pii(docs: DataFrame, **options) -> DataFrame:
@@ -200,9 +208,9 @@ def span_text(spans: str) -> Column:
 
 def mask(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with every span of ``found`` replaced by its kind in brackets; other columns stay."""
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
     marks = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash2"), "spans").dropDuplicates(["_id", "_hash2"])
-    both = keyed.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_hash2")), "left")
+    both = keyed.join(marks, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_hash2")), "left")
     both = both.withColumn("_s", F.array_sort(F.transform("spans", lambda x: F.struct(x["start"], x["end"], x["kind"]))))
     both = both.withColumn("_b", F.when(F.col("_s").isNotNull(), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))))
     touching = lambda spans, a, b: F.filter(spans, lambda x: (x["end"] > a) & (x["start"] < b))
@@ -223,9 +231,9 @@ def mask(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     whole = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size("_b") - 1) / _PIECES).cast("int")), stretch), "")
     text = F.when(F.col("_s").isNull() | (F.size("_b") == 0), F.col("text")).otherwise(whole)
-    return both.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return both.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
