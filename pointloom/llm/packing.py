@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .scratch import materialize
@@ -161,34 +162,34 @@ def place_table(patterns: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` with sequence_id and offset; extra columns of ``pieces`` are kept."""
+    """``pieces`` with sequence_id and offset; extra columns of ``pieces`` are kept, whatever their names but these two."""
     spark = pieces.sparkSession
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = place_table(pack_lengths(counts, capacity))
     salts = max(16, -(-sum(counts.values()) // RANK_ROWS))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    local = salted.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")))
-    sums = salted.groupBy("length", "_salt").agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = local.join(sums.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_before")), ["length", "_salt"])
-    ranked = ranked.select(*pieces.columns, (F.col("_before") + F.col("_n") - 1).alias("_rank"))
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    salted = pieces.select(F.struct(*names).alias("row"), "length", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).alias("salt"))
+    local = salted.withColumn("n", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row.doc_id", "row.piece", "row.ids_crc32")))
+    sums = salted.groupBy("length", "salt").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = local.join(sums.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before")), ["length", "salt"])
+    ranked = ranked.select("row", "length", (F.col("before") + F.col("n") - 1).alias("rank"))
     places = spark.sparkContext.broadcast(table)
-    at = ranked.columns.index("length"), ranked.columns.index("_rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = places.value
         # rank and length in one key; ranks stay below 2**50
         keys = (t[:, 0] << 50) + t[:, 1]
         for batch in batches:
-            length, rank = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in at)
+            length, rank = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
             row = t[np.searchsorted(keys, (length << 50) + rank, side="right") - 1]
             inner = rank - row[:, 1]
             sequence = row[:, 2] + inner // row[:, 3]
             offset = row[:, 4] + inner % row[:, 3] * length
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:-1], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sequence), pa.array(offset)], ["row", "sequence_id", "offset"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    schema = T.StructType([ranked.schema["row"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.mapInArrow(run, schema).select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, **tokenizer) -> DataFrame:
