@@ -7,8 +7,8 @@ is their concatenation.  Inside roles and texts the escape sign and the signs
 that start or end a marker are replaced (``\`` -> ``\\``, ``<`` -> ``\l``,
 ``>`` -> ``\g``), so that no text can imitate a marker; ``unescape`` reverses it.
 
-Text is escaped before the shuffle; a conversation then meets in one row, as
-its formatted text is one value.
+A conversation meets in one row, as its formatted text is one value; its turns
+are put in order there and then escaped.
 
 Defined results: rows are ordered by turn, then role and text, nulls first; a
 null text or role is empty; rows with a null conv_id form one conversation;
@@ -51,15 +51,15 @@ def unescape(x: Column) -> Column:
 def format_conversations(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     """Per conversation: conv_id, formatted, segments (array of text and loss), valid."""
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
-    rows = turns.select("conv_id", "turn", role.alias("role"), escape(role).alias("mark"), escape(text).alias("body"))
-    one = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "body", "mark"))).alias("turns"))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    one = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     a, b = template.head
 
     def parts(t: Column) -> Column:
         off = F.lit(False)
         return F.array(
-            F.struct(F.concat(F.lit(a), t["mark"], F.lit(b)).alias("text"), off.alias("loss")),
-            F.struct(t["body"].alias("text"), t["role"].isin(*template.loss_roles).alias("loss")),
+            F.struct(F.concat(F.lit(a), escape(t["role"]), F.lit(b)).alias("text"), off.alias("loss")),
+            F.struct(escape(t["text"]).alias("text"), t["role"].isin(*template.loss_roles).alias("loss")),
             F.struct(F.lit(template.tail).alias("text"), off.alias("loss")),
         )
 
@@ -94,10 +94,10 @@ def op1_chat(spark, sf_dir: str) -> DataFrame:
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
     made = format_conversations(turns.unionByName(more))
     nl = F.lit("\n")
-    back = made.select(
-        "conv_id", "valid", F.length("formatted").cast("long").alias("formatted_chars"), read_back(F.col("formatted")).alias("turns"),
-        F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "").alias("loss"),
-    )
+    # a turn's text is read back from the formatted text, its loss flag from the segment between head and tail
+    flags = F.transform(F.filter("segments", lambda s, i: i % 3 == 1), lambda s: s["loss"])
+    back = made.select("conv_id", "valid", F.length("formatted").cast("long").alias("formatted_chars"), read_back(F.col("formatted")).alias("turns"), flags.alias("flags"))
+    back = back.withColumn("loss", F.array_join(F.zip_with("turns", "flags", lambda t, on: F.when(on, t["text"]).otherwise("")), ""))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], nl, t["text"], nl)), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
