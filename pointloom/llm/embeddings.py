@@ -4,22 +4,23 @@ Equal vectors form a class first.  Neighbour lists of ``k`` entries start from
 random-projection buckets (sign patterns of as many bits as keep buckets small,
 in several tables); then neighbours of neighbours are joined, round by round,
 until no list changes.  Links are the list entries at or above the threshold.
-A list that is full of links is saturated.  Saturated vectors are searched
-exactly against all rows: balls of them cover each component, the triangle
-inequality of angles leaves few rows outside it that can link into a ball, and
-links so found unite components.  All members of a component with saturated
-lists are then compared, block against block, so every link is counted while
-pairs never become rows.  The final links and components are audited against
+A list that is full of links is saturated and is enlarged, by joins of its
+neighbours' lists, to twice its length and again up to ``ENLARGED`` times.  Vectors
+whose lists are full even then are searched exactly against all rows: balls of
+them cover each component, the triangle inequality of angles leaves few rows
+outside it that can link into a ball, and links so found unite components.  All
+members of a component with such lists are then compared, block against block,
+so every link is counted while pairs never become rows.  The final links and components are audited against
 brute force on query vectors, by the average recall of a query, apart for
 components with saturated lists and for all other rows; below the target, more
 tables are added and the search repeated, and at the last step all rows are
 compared with all rows.
 
-Bounds: blocks hold about ``BLOCK`` vectors; only entries within ``margin`` of
+Bounds: blocks hold about ``BLOCK`` vectors (``WIDE`` where links are counted); only entries within ``margin`` of
 the threshold are kept in lists; reverse neighbours joined in one round are at
 most ``k`` per vector (saturated lists are completed exactly, as above); the
-audit has about ``AUDIT`` query vectors in components with saturated lists and
-``8 * AUDIT`` elsewhere, which run against all rows; at most ``CHUNK`` vectors
+audit has ``AUDIT`` query vectors in components with saturated lists and
+``8 * AUDIT`` elsewhere (all, if there are fewer), which run against all rows; at most ``CHUNK`` vectors
 are sent to the executors at once.
 
 Defined results: vectors that are null, empty or zero, or hold null or
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import discard, materialize
 
-THRESHOLD, K, TABLES, MOST_TABLES, BLOCK, AUDIT, CHUNK = 0.95, 10, 16, 128, 512, 256, 8192
+THRESHOLD, K, TABLES, MOST_TABLES, BLOCK, WIDE, ENLARGED, AUDIT, CHUNK = 0.95, 10, 16, 128, 512, 4096, 4, 256, 8192
 
 
 def _matrix(lists) -> np.ndarray:
@@ -99,36 +100,61 @@ def _block_lists(k: int, floor: float):
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k best entries of each list; each entry stands in both lists it belongs to."""
-    both = edges.select("u", "v", "cos").unionAll(edges.select("v", "u", "cos"))
-    once = both.groupBy("u", "v").agg(F.max("cos").alias("cos"))
+    """The k best entries of each list."""
+    once = edges.groupBy("u", "v").agg(F.max("cos").alias("cos"))
     top = once.groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("d"), "v"))), 1, k).alias("top"))
     return top.select("u", F.explode("top").alias("t")).select("u", "t.v", (-F.col("t.d")).alias("cos"))
 
 
-def neighbour_lists(vectors: DataFrame, n: int, k: int, floor: float, tables: int, rounds: int = 6) -> DataFrame:
+def _around(lists: DataFrame, k: int) -> DataFrame:
+    """(c, cid): each vector with the vectors of its list and at most ``k`` whose lists it is in, one of each hash bucket."""
+    h = F.xxhash64("u", "v")
+    back = lists.groupBy(F.col("v").alias("c"), F.pmod(h, F.lit(k)).alias("b")).agg(F.min(F.struct(h.alias("h"), "u")).alias("r")).select("c", F.col("r.u").alias("cid"))
+    own = lists.select(F.col("u").alias("c"), F.col("v").alias("cid")).unionAll(lists.select(F.col("u").alias("c"), F.col("u").alias("cid")))
+    return own.unionAll(back).distinct()
+
+
+def neighbour_lists(vectors: DataFrame, n: int, k: int, floor: float, tables: int) -> DataFrame:
     """(u, v, cos): neighbour lists of the vectors (cid, vec)."""
     bits = min(40, max(2, round(math.log2(max(n, 1) / 128)) if n > 512 else 2))
     keys = materialize(vectors.mapInArrow(_signatures(tables, bits, 17), "cid long, table long, key long, dim long"), "keys")
-    size = keys.groupBy("table", "key", "dim").agg(F.count("*").alias("n")).filter("n > 1")
+    size = materialize(keys.groupBy("table", "key", "dim").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     placed = keys.join(size, ["table", "key", "dim"]).withColumn("block", F.pmod(F.xxhash64("cid", "table"), F.ceil(F.col("n") / BLOCK)))
     groups = placed.join(vectors, "cid").groupBy("table", "key", "dim", "block").agg(F.collect_list(F.struct("cid", "vec")).alias("m")).select("m")
     lists = materialize(_best(groups.mapInArrow(_block_lists(k, floor), "u long, v long, cos double"), k), "lists")
     before = None
-    for _ in range(rounds):
+    while True:
         mark = lists.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if mark == before or not mark[0]:
             break
         before = mark
-        back = lists.groupBy(F.col("v").alias("u")).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("u", "v").alias("h"), F.col("u").alias("v")))), 1, k).alias("r"))
-        around = lists.select(F.col("u").alias("c"), F.col("v").alias("cid")).unionAll(back.select(F.col("u").alias("c"), F.explode("r.v").alias("cid"))).unionAll(lists.select(F.col("u").alias("c"), F.col("u").alias("cid"))).distinct()
-        local = around.join(vectors, "cid").groupBy("c").agg(F.collect_list(F.struct("cid", "vec")).alias("m")).select("m")
+        local = _around(lists, k).join(vectors, "cid").groupBy("c").agg(F.collect_list(F.struct("cid", "vec")).alias("m")).select("m")
         found = local.mapInArrow(_block_lists(k, floor), "u long, v long, cos double")
         lists, old = materialize(_best(lists.unionAll(found), k), "lists"), lists
         discard(old)
     return lists
 
 
+def saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(u): vectors with at least ``k`` links in their list."""
+    return lists.filter(F.col("cos") >= threshold).groupBy("u").agg(F.count("*").alias("c")).filter(F.col("c") >= k).select("u")
+
+
+def enlarge(lists: DataFrame, vectors: DataFrame, k: int, floor: float, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(lists, full): saturated lists made longer, and the vectors whose lists are full at the greatest length."""
+    most = k * ENLARGED
+    full = materialize(saturated(lists, k, threshold), "full")
+    while k < most and full.first():
+        k *= 2
+        local = _around(lists.join(full, "u", "left_semi"), k).join(vectors, "cid").groupBy("c").agg(F.collect_list(F.struct("cid", "vec")).alias("m")).select("m")
+        found = local.mapInArrow(_block_lists(k, floor), "u long, v long, cos double")
+        longer = _best(lists.unionAll(found), k).join(full, "u", "left_semi")
+        lists, old = materialize(lists.join(full, "u", "left_anti").unionAll(longer), "lists"), lists
+        discard(old)
+        full = materialize(saturated(lists.join(full, "u", "left_semi"), k, threshold), "full")
+    return lists, full
+
+
 def _count_links(threshold: float):
     """Pairs of blocks to (cid, n): links of each member to the other block, weighted by class sizes."""
 
@@ -140,12 +166,15 @@ def _count_links(threshold: float):
                 x = _matrix(m.field("vec"))
                 a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
                 if same.as_py():
-                    linked = _cosine(x, x) >= threshold
-                    np.fill_diagonal(linked, False)
-                    out, who = linked @ size, ids
-                else:
-                    linked = _cosine(x[a], x[b]) >= threshold
-                    out, who = np.concatenate([linked @ size[b], linked.T @ size[a]]), np.concatenate([ids[a], ids[b]])
+                    a = b = np.arange(len(ids))
+                out = np.zeros(len(ids), dtype=np.int64)
+                for s in range(0, len(a), BLOCK):
+                    strip = a[s : s + BLOCK]
+                    linked = (_cosine(x[strip], x[b]) >= threshold) & (ids[strip][:, None] != ids[b][None, :])
+                    out[strip] += linked @ size[b]
+                    if not same.as_py():
+                        out[b] += linked.T @ size[strip]
+                who = ids
                 yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(out.astype(np.int64))], ["cid", "links"])
 
     return run
@@ -224,7 +253,7 @@ def saturated_links(vectors: DataFrame, roots: DataFrame, full: DataFrame, thres
     """(u, v): for each row outside a component and each ball of the component's saturated vectors it links with, one such link."""
     spark, theta = vectors.sparkSession, math.acos(threshold)
     own = roots.join(full.select(F.col("u").alias("node")), "node").select(F.col("node").alias("cid"), "root")
-    blocks = own.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    blocks = materialize(own.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
     placed = own.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))).join(vectors, "cid")
     balls = materialize(placed.groupBy("root", "block").agg(F.collect_list(F.struct("cid", "vec")).alias("m")).select("root", "m").mapInArrow(_balls(theta), "ball long, root long, cid long, reach double"), "balls")
     leaders = balls.filter("ball = cid").join(vectors, "cid").select("ball", "root", "reach", "vec")
@@ -234,7 +263,7 @@ def saturated_links(vectors: DataFrame, roots: DataFrame, full: DataFrame, thres
         shared = spark.sparkContext.broadcast([(r.ball, r.root, r.reach, np.array(r.vec, dtype=np.float64)) for r in found])
         near = near.unionAll(materialize(rooted.mapInArrow(_near_balls(shared, theta), "ball long, cid long"), "near"))
         shared.destroy()
-    blocks = near.groupBy("ball").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    blocks = materialize(near.groupBy("ball").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
     rows = near.join(blocks, "ball").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))).join(vectors, "cid").groupBy("ball", "block").agg(F.collect_list(F.struct("cid", "vec")).alias("rows"))
     members = balls.join(blocks, "ball", "left_semi").join(vectors, "cid").groupBy("ball").agg(F.collect_list(F.struct("cid", "vec")).alias("members"))
     return rows.join(members, "ball").select("members", "rows").mapInArrow(_first_links(threshold), "u long, v long")
@@ -288,18 +317,16 @@ def exact_links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     return out
 
 
-def _audit(vectors: DataFrame, links: DataFrame, whole: DataFrame, n: int, threshold: float) -> float:
+def _audit(vectors: DataFrame, links: DataFrame, whole: DataFrame, threshold: float) -> float:
     """Average recall of a query vector over its true links, the lesser of two audits.
 
     One is over members of ``whole`` (node, root), the components whose members
     are all compared, and one over all other rows.  A true link is found where
     it is counted: in ``links``, or between members of one component of ``whole``.
     """
-    inside = whole.count()
-    place = F.pmod(F.xxhash64(F.lit(5), "cid"), F.lit(1_000_000))
-    rate = lambda want, of: int(1_000_000 * min(1.0, want / max(of, 1)))
-    marked = vectors.join(whole.select(F.col("node").alias("cid"), F.lit(True).alias("inside")), "cid", "left")
-    picked = marked.filter(place < F.when(F.col("inside"), rate(AUDIT, inside)).otherwise(rate(8 * AUDIT, n - inside))).select("cid", "vec").limit(16 * AUDIT).collect()
+    members = whole.select(F.col("node").alias("cid"))
+    drawn = lambda df, want: df.orderBy(F.xxhash64(F.lit(5), "cid"), "cid").limit(want).collect()
+    picked = drawn(vectors.join(members, "cid", "left_semi"), AUDIT) + drawn(vectors.join(members, "cid", "left_anti"), 8 * AUDIT)
     if not picked:
         return 1.0
     shared = vectors.sparkSession.sparkContext.broadcast([(r.cid, np.array(r.vec, dtype=np.float64)) for r in picked])
@@ -327,7 +354,7 @@ def _audit(vectors: DataFrame, links: DataFrame, whole: DataFrame, n: int, thres
 
 def _links_of(classes: DataFrame, links: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
     """(cid, links): by blocks for members of ``whole`` (node, root), from ``links`` for the others."""
-    sizes = whole.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = materialize(whole.groupBy("root").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("blocks")), "blocks")
     members = whole.select(F.col("node").alias("cid"), "root").join(classes, "cid")
     placed = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -348,15 +375,17 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int
     vectors = classes.select("cid", "vec")
     n = classes.count()
     while True:
-        links = neighbour_lists(vectors, n, k, threshold - margin, tables).filter(F.col("cos") >= threshold).select("u", "v")
+        lists, full = enlarge(neighbour_lists(vectors, n, k, threshold - margin, tables), vectors, k, threshold - margin, threshold)
+        links = lists.filter(F.col("cos") >= threshold).select("u", "v")
+        # a pair found from a list that was enlarged counts for both
+        links = materialize(links.unionAll(links.select("v", "u")).distinct(), "links")
         roots = materialize(components(links), "roots")
-        full = materialize(links.groupBy("u").agg(F.count("*").alias("c")).filter(F.col("c") >= k).select("u"), "full")
         across = materialize(saturated_links(vectors, roots, full, threshold), "across")
         if across.first():
             roots = materialize(components(links.unionAll(across)), "roots")
         large = roots.join(full.select(F.col("u").alias("node")), "node").select("root").distinct()
         whole = materialize(roots.join(large, "root").select("node", "root"), "whole")
-        if _audit(vectors, links, whole, n, threshold) >= target:
+        if _audit(vectors, links, whole, threshold) >= target:
             total = _links_of(classes, links, whole, threshold)
             break
         if tables >= MOST_TABLES:
@@ -365,9 +394,9 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int
             total = exact.groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
             break
         tables *= 2
-    rooted = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "first_id", F.coalesce("root", "cid").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    per_class = rooted.join(least, "root").join(total, "cid", "left").select("cid", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    rooted = materialize(classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "first_id", F.coalesce("root", "cid").alias("root")), "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
+    per_class = rooted.join(least, "root").join(materialize(total, "total"), "cid", "left").select("cid", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = marked.select("vec_id", "cid").join(per_class, "cid", "left")
     comp = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept"))
