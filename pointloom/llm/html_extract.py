@@ -2,19 +2,27 @@
 
 For each host, a few pages are aligned into a wrapper, a regular expression
 without unions: tokens are tags and text; immediate repeats of a token sequence
-become a repeated group ``( ... )+``; pages are aligned one after another, and a
-mismatch of text becomes a slot, a mismatch of tags an optional group
-``( ... )?``.  The element whose slots hold the text that differs between pages
-is the host's main element.  Every page is then read whole, not aligned with the
-wrapper, by that element and by lists of tags and class words: blocks inside it, outside page furniture (menus, forms, adverts,
-comments ...), are its main text.  Hosts with one page, and pages without the
-main element, use the article, the main element or the body.  Where a form or
-a listed class word stands around the page's article, main element or host's
-element, or around all its text, it does not count as furniture.
-
-Bound: a wrapper is inferred from at most ``SAMPLE`` pages of a host, one per
-hash bucket (the aggregate keeps one page per host, bucket and task), and from
-at most ``TOKENS`` collapsed tokens of each; extraction has no bound.
+become a repeated group ``( ... )+``, of which a single occurrence on another page
+is a match; pages are aligned one after another, and a mismatch of text becomes a
+slot, a mismatch of tags an optional group ``( ... )?``.  The innermost element
+whose slots hold most of the text that differs between pages is the host's main
+element.
+
+Every page is then read whole.  Its tokens are aligned with its host's wrapper:
+that tells where the main element starts and ends on this page, and which texts
+are constants of the template, which are slots or repeats.  Page furniture (menus,
+forms, adverts, comments ...) is known by tags and class words, as its texts vary
+between pages too.  The main text is the blocks of the main element that are
+neither; constants inside an article or main tag are part of it.  A page that the
+wrapper does not match in half its tokens, or a host with one page, is read by
+its article, main element or body.  Where a form or a listed class word stands
+around the page's main text, or around all its text, it does not count as furniture.
+
+Bounds (parameters): a wrapper is inferred from at most ``sample`` pages of a host,
+one per hash bucket (the aggregate keeps one page per host, bucket and task), each
+taken whole; repeats of up to ``repeat`` tokens are found; stretches without a
+common token that both pages have once are aligned exactly up to ``CELLS`` pairs of
+tokens, and count as different beyond.  Extraction has no bound.
 
 Defined results: a null or empty html has the empty text; a null url belongs
 to the host ''; repeated pages get equal results; unclosed or misnested tags
@@ -23,8 +31,12 @@ are closed as browsers do; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import html as htmllib
+import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -34,7 +46,9 @@ from pyspark.sql import functions as F
 
 from .scratch import materialize
 
-SAMPLE, TOKENS, REPEAT = 8, 3000, 12
+SAMPLE, REPEAT, CELLS = 8, 12, 250_000
+#: Pages on which a text must be the same to be a constant of the template.
+CONSTANT = 3
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>|[^<]++|<",
@@ -86,23 +100,34 @@ def _furniture(name: str, rest: str, inside: bool, words_count: bool = True) ->
 
 
 class _Reader:
-    """Open elements of a page, closed as browsers do; blocks of text with where they stand."""
+    """Open elements of a page, closed as browsers do; blocks of text with where they stand.
 
-    def __init__(self, main: str | None, wraps: bool = False):
-        self.main = main
+    Region bits of a block: 2 in a main tag, 4 in an article, 8 in the host's
+    main element, 16 all its text is constant in the template.
+    """
+
+    def __init__(self, main: tuple[int, int] | None = None, constants: frozenset[int] = frozenset(), wraps: bool = False):
+        self.main = main  # first and last token of the host's main element
+        self.constants = constants
         self.wraps = wraps  # forms and class words count only inside the main text
         self.stack: list[tuple[str, bool, int]] = []  # name, furniture, region bits
         self.blocks: list[tuple[str, int]] = []
         self.buffer: list[str] = []
+        self.fixed = True  # only constants in the buffer
         self.off = 0  # open furniture elements
         self.region = 0
+        self.at = -1
 
     def flush(self) -> None:
         if self.buffer:
             text = " ".join(htmllib.unescape("".join(self.buffer)).split())
-            self.buffer = []
+            bits = self.region | 8 * self.inside() | 16 * self.fixed
+            self.buffer, self.fixed = [], True
             if text:
-                self.blocks.append((text, self.region))
+                self.blocks.append((text, bits))
+
+    def inside(self) -> bool:
+        return self.main is not None and self.main[0] < self.at <= self.main[1]
 
     def pop(self, n: int) -> None:
         del_ = self.stack[n:]
@@ -118,11 +143,12 @@ class _Reader:
             if self.stack[i][0] in stops:
                 return
 
-    def read(self, page: str) -> list[tuple[str, int]]:
-        for kind, name, rest in tokens(page):
+    def read(self, page: list[tuple[str, str, str]]) -> list[tuple[str, int]]:
+        for self.at, (kind, name, rest) in enumerate(page):
             if kind == "text":
                 if not self.off:
                     self.buffer.append(rest)
+                    self.fixed &= self.at in self.constants or rest.isspace()
                 continue
             if name in BLOCK:
                 self.flush()
@@ -136,11 +162,10 @@ class _Reader:
             if name in _CLOSES_SAME:
                 for x in ("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,):
                     self.close(x, _CLOSES_SAME[name])
-            furniture = _furniture(name, rest, bool(self.region & 6), not self.wraps or bool(self.region))
+            furniture = _furniture(name, rest, bool(self.region & 6), not self.wraps or bool(self.region) or self.inside())
             bits = self.region
             if not self.off and not furniture:
                 bits |= 4 * (name == "article" or "articlebody" in rest.lower()) | 2 * (name == "main" or _attributes(rest).get("role") == "main")
-                bits |= 8 * (self.main is not None and _key(name, rest) == self.main)
             self.stack.append((name, furniture, bits))
             self.off += furniture
             self.region = bits
@@ -148,144 +173,289 @@ class _Reader:
         return self.blocks
 
 
-def extract(page: str | None, main: str | None) -> str:
-    """The main text of one page, given its host's main element.
-
-    The host's element counts only where it holds most of the text outside
-    page furniture; otherwise the page's own article or main element does.
-    """
-    strict = _chosen(_Reader(main).read(page or ""))
+def extract(page: str | None, wrapper: Wrapper | None = None) -> str:
+    """The main text of one page, given its host's wrapper."""
+    own = list(tokens(page or ""))
+    main, constants = wrapper.match(own) if wrapper else (None, frozenset())
+    strict = _chosen(_Reader(main, constants).read(own))
     if strict[1]:
         return strict[0]
-    loose = _chosen(_Reader(main, True).read(page or ""))
+    loose = _chosen(_Reader(main, constants, True).read(own))
     return loose[0] if loose[1] or not strict[0] else strict[0]
 
 
 def _chosen(blocks: list[tuple[str, int]]) -> tuple[str, int]:
-    """(text, the region bit it was taken by) of a page's blocks."""
-    whole = sum(len(t) for t, _ in blocks)
+    """(text, the region bits it was taken by) of a page's blocks."""
+    length = lambda own: sum(len(t) for t, _ in own)
+    varying = [b for b in blocks if b[1] & 6 or not b[1] & 16]
+    whole = length(varying or blocks)
     for bit in (8, 4, 2, 0):
-        own = [t for t, r in blocks if r & bit or not bit]
-        if own and (bit != 8 or sum(map(len, own)) >= 0.6 * whole):
-            return " ".join(own), bit
+        own = [b for b in varying if b[1] & bit or not bit] or [b for b in blocks if b[1] & bit or not bit]
+        if own and (bit != 8 or length(own) >= 0.6 * whole):
+            article = [b for b in own if b[1] & 4] or [b for b in own if b[1] & 2]
+            if bit == 8 and length(article) >= 0.5 * length(own):
+                own = article
+            return " ".join(t for t, _ in own), bit
     return "", 0
 
 
-def _stream(page: str) -> list[list]:
-    """Collapsed tokens of a page: [key, text, characters]; a repeated group's key is ('+', keys)."""
-    out: list[list] = []
-    depth_off, off_name = 0, ""
-    for kind, name, rest in tokens(page):
+class Node:
+    """A token of a page, or a repeated group: its key, text, characters outside furniture, and first and last token."""
+
+    __slots__ = ("key", "text", "chars", "first", "last")
+
+    def __init__(self, key, text: str | None, chars: int, first: int, last: int):
+        self.key, self.text, self.chars, self.first, self.last = key, text, chars, first, last
+
+
+def stream(page: list[tuple[str, str, str]], repeat: int = REPEAT) -> list[Node]:
+    """The tokens of a page with repeats of up to ``repeat`` tokens collapsed; a repeated group's key is ('+', keys)."""
+    out: list[Node] = []
+    keys: list = []  # of ``out``
+    off, off_name = 0, ""
+    for at, (kind, name, rest) in enumerate(page):
         if kind == "text":
             text = " ".join(rest.split())
-            if not text or (out and out[-1][0] == "#text"):
+            if not text:
                 continue
-            node = ["#text", text, 0 if depth_off else len(text)]
+            if out and out[-1].key == "#text":
+                out[-1].text += f" {text}"
+                out[-1].chars += 0 if off else len(text)
+                out[-1].last = at
+                continue
+            node = Node("#text", text, 0 if off else len(text), at, at)
         else:
-            key = ("/" + name) if kind == "end" else _key(name, rest)
-            node = [key, None, 0]
-            if kind == "start" and not depth_off and name not in VOID and _furniture(name, rest, False):
-                depth_off, off_name = 1, name
-            elif depth_off and name == off_name:
-                depth_off += 1 if kind == "start" else -1
+            node = Node(f"/{name}" if kind == "end" else _key(name, rest) if rest else name, None, 0, at, at)
+            if kind == "start" and not off and name not in VOID and _furniture(name, rest, False):
+                off, off_name = 1, name
+            elif off and name == off_name:
+                off += 1 if kind == "start" else -1
         out.append(node)
-        for n in range(1, min(REPEAT, len(out)) + 1):
-            tail = tuple(x[0] for x in out[-n:])
-            if len(out) > n and out[-n - 1][0] == ("+", tail):
-                out[-n - 1][2] += sum(x[2] for x in out[-n:])
-                del out[-n:]
+        last = node.key
+        keys.append(last)
+        for n, k in enumerate(keys[-2 : -repeat - 2 : -1], 1):
+            # both kinds of repeat end with the key that has just come
+            if k != last and (k.__class__ is str or k[1][-1] != last):
+                continue
+            tail = tuple(keys[-n:])
+            if k == ("+", tail):
+                out[-n - 1].chars += sum(x.chars for x in out[-n:])
+                out[-n - 1].last = at
+                del out[-n:], keys[-n:]
                 break
-            if len(out) >= 2 * n and tail == tuple(x[0] for x in out[-2 * n : -n]) and "#text" in tail:
-                out[-2 * n :] = [[("+", tail), None, sum(x[2] for x in out[-2 * n :])]]
+            if len(out) >= 2 * n and "#text" in tail and tail == tuple(keys[-2 * n : -n]):
+                out[-2 * n :] = [Node(("+", tail), None, sum(x.chars for x in out[-2 * n :]), out[-2 * n].first, at)]
+                keys[-2 * n :] = [("+", tail)]
                 break
-        if len(out) >= TOKENS:
-            break
     return out
 
 
-def infer(pages: list[str]) -> tuple[str, str | None]:
-    """(wrapper, main element) of pages of one host."""
-    wrapper: list[list] = []  # key, text or None (slot), characters of differing text, optional
-    for i, page in enumerate(pages):
-        s = _stream(page)
-        if not i:
-            wrapper = [[k, t, c if t is None else 0, False] for k, t, c in s]
-            first = s
+def grouped(nodes: list[Node], groups: set[tuple]) -> list[Node]:
+    """Single occurrences of the repeated groups of other pages become groups too."""
+    by_first: dict = {}
+    for g in sorted(groups, key=lambda g: (-len(g), str(g))):
+        by_first.setdefault(g[0], []).append(g)
+    out, i = [], 0
+    while i < len(nodes):
+        for g in by_first.get(nodes[i].key, ()):
+            own = nodes[i : i + len(g)]
+            if len(own) == len(g) and all(x.key == k for x, k in zip(own, g)):
+                out.append(Node(("+", g), None, sum(x.chars for x in own), own[0].first, own[-1].last))
+                i += len(g)
+                break
+        else:
+            out.append(nodes[i])
+            i += 1
+    return out
+
+
+def align(a: list, b: list) -> list[tuple[int, int]]:
+    """Pairs of places with equal keys, increasing in both: ends first, then keys that each side has once, then exactly."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            out.append((a0, b0))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            out.append((a1, b1))
+        if a0 == a1 or b0 == b1:
+            continue
+        if (a1 - a0) * (b1 - b0) <= CELLS:
+            for m in SequenceMatcher(None, a[a0:a1], b[b0:b1], autojunk=False).get_matching_blocks():
+                out += [(a0 + m.a + k, b0 + m.b + k) for k in range(m.size)]
             continue
-        merged: list[list] = []
-        for op, a, b, c, d in SequenceMatcher(None, [w[0] for w in wrapper], [x[0] for x in s], autojunk=False).get_opcodes():
-            if op == "equal":
-                for w, x in zip(wrapper[a:b], s[c:d]):
-                    if w[0] == "#text" and w[1] is not None and w[1] != x[1]:
-                        w = [w[0], None, w[2] + len(w[1]) * (x[2] > 0), w[3]]
-                    merged.append([w[0], w[1], w[2] + (x[2] if w[1] is None else 0), w[3]])
-            else:
-                merged += [[*w[:3], True] for w in wrapper[a:b]]
-                merged += [[k, None, n, True] for k, _, n in s[c:d]]
-        wrapper = merged
-    if len(pages) == 1:
-        wrapper = [[k, t, c, False] for k, t, c in first]
-    # the innermost element that holds most of the differing text
-    total = sum(w[2] for w in wrapper)
-    mass: dict[int, int] = {}
-    opened: list[int] = []
-    for i, w in enumerate(wrapper):
-        k = w[0]
-        for j in opened:
-            mass[j] = mass.get(j, 0) + w[2]
-        if isinstance(k, str) and k[0] != "#" and k[0] != "/" and re.split(r"[.#]", k)[0] in SCOPE - {"html", "body", "li", "ul", "ol"}:
-            opened.append(i)
-        elif isinstance(k, str) and k[0] == "/":
-            for j in range(len(opened) - 1, -1, -1):
-                if re.split(r"[.#]", wrapper[opened[j]][0])[0] == k[1:]:
-                    del opened[j:]
-                    break
-    best = [j for j, m in mass.items() if total and m >= 0.8 * total]
-    return _render(wrapper), wrapper[max(best)][0] if best else None
-
-
-def _render(wrapper: list[list]) -> str:
-    def one(k) -> str:
-        if isinstance(k, tuple):
-            return "( " + " ".join(one(x) for x in k[1]) + " )+"
-        return "#slot" if k == "#text" else f"<{k}>"
-
-    out, within = [], False
-    for k, text, _, optional in wrapper:
-        if optional != within:
-            out.append("(" if optional else ")?")
-            within = optional
-        out.append(repr(text) if text is not None and k == "#text" else one(k))
-    return " ".join(out + [")?"] * within)
+        once_a, once_b = Counter(a[a0:a1]), Counter(b[b0:b1])
+        place = {k: j for j, k in enumerate(b[b0:b1], b0) if once_b[k] == 1}
+        both = [(i, place[k]) for i, k in enumerate(a[a0:a1], a0) if once_a[k] == 1 and k in place]
+        i, j = a0, b0
+        for x, y in _increasing(both):
+            todo.append((i, x, j, y))
+            out.append((x, y))
+            i, j = x + 1, y + 1
+        if i > a0:
+            todo.append((i, a1, j, b1))
+    return sorted(out)
+
+
+def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest subsequence that increases in the second place too."""
+    tops: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(pairs)
+    for n, (_, y) in enumerate(pairs):
+        k = bisect.bisect_left(tops, y)
+        if k == len(tops):
+            tops.append(y)
+            last.append(n)
+        else:
+            tops[k], last[k] = y, n
+        before[n] = last[k - 1] if k else -1
+    out, n = [], last[-1] if last else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
+class Wrapper:
+    """A union-free expression: keys with a constant text or a slot, optional or not; and the nodes of the main element."""
+
+    def __init__(self, nodes: list[tuple], main: tuple[int, int] | None, repeat: int = REPEAT):
+        self.nodes, self.main, self.repeat = nodes, main, repeat  # key, constant, optional
+        self.keys = [n[0] for n in nodes]
+        self.groups = {k[1] for k in self.keys if isinstance(k, tuple)}
+
+    def match(self, page: list[tuple[str, str, str]]) -> tuple[tuple[int, int] | None, frozenset[int]]:
+        """(first and last token of the main element, tokens that are constants) of a page; (None, none) if it has another template."""
+        own = grouped(stream(page, self.repeat), self.groups)
+        pairs = align(self.keys, [x.key for x in own])
+        if 2 * len(pairs) < len(own):
+            return None, frozenset()
+        place = dict(pairs)
+        constants = frozenset(t for i, j in pairs if self.nodes[i][1] is not None and self.nodes[i][1] == own[j].text for t in range(own[j].first, own[j].last + 1))
+        ends = [place.get(i) for i in self.main] if self.main else [None]
+        return (own[ends[0]].first, own[ends[1]].last) if None not in ends else None, constants
+
+    def dump(self) -> str:
+        return json.dumps([self.nodes, self.main, self.repeat])
+
+    @classmethod
+    def load(cls, text: str) -> Wrapper:
+        nodes, main, repeat = json.loads(text)
+        key = lambda k: ("+", tuple(map(key, k[1]))) if isinstance(k, list) else k
+        return cls([(key(k), text, optional) for k, text, optional in nodes], main and tuple(main), repeat)
+
+    def __str__(self) -> str:
+        def one(k) -> str:
+            if isinstance(k, tuple):
+                return "( " + " ".join(map(one, k[1])) + " )+"
+            return "#slot" if k == "#text" else f"<{k}>"
+
+        out, within = [], False
+        for k, text, optional in self.nodes:
+            if optional != within:
+                out.append("(" if optional else ")?")
+                within = optional
+            out.append(repr(text) if text is not None else one(k))
+        return " ".join(out + [")?"] * within)
+
+
+@functools.lru_cache(maxsize=64)
+def _loaded(text: str) -> Wrapper:
+    return Wrapper.load(text)
+
+
+def infer(pages: list[str], repeat: int = REPEAT) -> Wrapper | None:
+    """The wrapper of pages of one host; None for fewer than two different pages."""
+    pages = list(dict.fromkeys(pages))
+    if len(pages) < 2:
+        return None
+    streams = [stream(list(tokens(p)), repeat) for p in pages]
+    groups = {x.key[1] for s in streams for x in s if isinstance(x.key, tuple)}
+    merged: list[list] = []  # key, constant, characters of slots and repeats, optional, pages
+    for n, s in enumerate(grouped(s, groups) for s in streams):
+        if not n:
+            merged = [[x.key, x.text, 0 if x.key == "#text" else x.chars, False, 1] for x in s]
+            first = {id(w): x.chars for w, x in zip(merged, s)}
+            continue
+        out: list[list] = []
+        i = j = 0
+        for x, y in [*align([w[0] for w in merged], [v.key for v in s]), (len(merged), len(s))]:
+            for w in merged[i:x]:
+                w[3] = True
+                out.append(w)
+            for v in s[j:y]:
+                new = [v.key, v.text, 0 if v.key == "#text" else v.chars, True, 1]
+                first[id(new)] = v.chars
+                out.append(new)
+            if x < len(merged):
+                w, v = merged[x], s[y]
+                w[4] += 1
+                if w[1] != v.text:  # a slot from now on, with what was taken for a constant
+                    w[2] += first.get(id(w), 0) if w[1] is not None else 0
+                    w[1] = None
+                w[2] += v.chars if w[1] is None else 0
+                out.append(w)
+            i, j = x + 1, y + 1
+        merged = out
+    nodes = [(k, text if n >= CONSTANT else None, optional) for k, text, _, optional, n in merged]
+    return Wrapper(nodes, _main_element(merged), repeat)
+
+
+def _main_element(merged: list[list]) -> tuple[int, int] | None:
+    """First and last node of the innermost element that holds most of the text that differs between pages."""
+    total = sum(w[2] for w in merged)
+    opened: list[tuple[str, int, int]] = []
+    best, so_far = None, 0
+    for i, (k, _, weight, *_) in enumerate(merged):
+        so_far += weight
+        if not isinstance(k, str) or k == "#text":
+            continue
+        name = re.split(r"[.#]", k.lstrip("/"))[0]
+        if k[0] != "/":
+            if name in SCOPE - {"html", "body", "li", "ul", "ol"}:
+                opened.append((name, i, so_far))
+            continue
+        for j in range(len(opened) - 1, -1, -1):
+            if opened[j][0] == name:
+                _, start, before = opened[j]
+                del opened[j:]
+                if best is None and total and so_far - before >= 0.8 * total:
+                    best = (start, i)  # the first to close is the innermost
+                break
+    return best
 
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, main) per host."""
+def infer_wrappers(pages: DataFrame, sample: int = SAMPLE, repeat: int = REPEAT) -> DataFrame:
+    """(host, wrapper, expression) per host of which several pages are known: the wrapper as JSON and as a regular expression."""
     place = F.xxhash64("page_id", "html")
-    rows = pages.filter("html is not null").select(host(F.col("url")).alias("host"), F.pmod(place, F.lit(SAMPLE)).alias("bucket"), place.alias("place"), "html")
-    sample = rows.groupBy("host", "bucket").agg(F.min(F.struct("place", "html")).alias("one"))
-    grouped = sample.groupBy("host").agg(F.array_sort(F.collect_list(F.col("one.html"))).alias("pages"))
+    rows = pages.filter("html is not null").select(host(F.col("url")).alias("host"), F.pmod(place, F.lit(sample)).alias("bucket"), place.alias("place"), "html")
+    picked = rows.groupBy("host", "bucket").agg(F.min(F.struct("place", "html")).alias("one"))
+    by_host = picked.groupBy("host").agg(F.array_sort(F.collect_list(F.col("one.html"))).alias("pages"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [infer(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for w, _ in found], pa.string()), pa.array([m for _, m in found], pa.string())], ["host", "wrapper", "main"])
+            found = [infer(x.as_py(), repeat) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w and w.dump() for w in found], pa.string()), pa.array([w and str(w) for w in found], pa.string())], ["host", "wrapper", "expression"])
 
-    return grouped.mapInArrow(run, "host string, wrapper string, main string")
+    return by_host.mapInArrow(run, "host string, wrapper string, expression string").filter("wrapper is not null")
 
 
-def extract_main_text(pages: DataFrame) -> DataFrame:
+def extract_main_text(pages: DataFrame, **options) -> DataFrame:
     """Per row of ``pages``: page_id, url, text."""
-    wrappers = materialize(infer_wrappers(pages), "wrappers").select("host", "main")
-    joined = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(wrappers, "host", "left").select("page_id", "url", "html", "main")
+    wrappers = materialize(infer_wrappers(pages, **options), "wrappers").select("host", "wrapper")
+    joined = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [extract(h.as_py(), m.as_py()) for h, m in zip(batch.column(2), batch.column(3))]
+            text = [extract(h.as_py(), _loaded(w.as_py()) if w.is_valid else None) for h, w in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
     return joined.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")

@@ -224,7 +224,7 @@ def test_pack_lengths_uses_every_piece_once():
 
 def test_wrapper_inference():
     pages = [f"<html><nav><a>x</a></nav><div class=body><h2>{t}</h2>" + f"<p>{t} text</p>" * n + "</div><div class=ad>buy</div></html>" for t, n in (("One", 3), ("Two", 5), ("Three", 2))]
-    wrapper, main = infer(pages)
-    assert "( <p> #slot </p> )+" in wrapper and main == "div.body"
-    assert extract(pages[0], main) == "One" + " One text" * 3
+    wrapper = infer(pages)
+    assert "( <p> #slot </p> )+" in str(wrapper) and wrapper.nodes[wrapper.main[0]][0] == "div.body"
+    assert extract(pages[0], wrapper) == "One" + " One text" * 3
     assert extract("<main>a<section id='comments'>c</section><form>f</form> b</main><aside>s</aside>", None) == "a b"

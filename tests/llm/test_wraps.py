@@ -1,18 +1,67 @@
-"""Pages whose main text stands inside a form or an element with a furniture word."""
+"""Main text by wrappers; pages whose main text stands inside a form or an element with a furniture word."""
 
-from pointloom.llm.html_extract import extract
+import random
+
+from pointloom.llm.html_extract import Wrapper, align, extract, extract_main_text, infer, stream, tokens
 
 ARTICLE = "<article><h1>T</h1><p>a b</p><div class=share>s</div></article>"
 
 
 def test_furniture_words_around_the_article():
     menu = "<nav>m</nav><div>top</div>"
-    assert extract(f"<body>{menu}<div class='content-sidebar-wrap'>{ARTICLE}</div><footer>f</footer></body>", None) == "T a b"
-    assert extract(f"<body><form action=x>{menu}{ARTICLE}</form></body>", None) == "T a b"
-    assert extract(f"<body><form><nav>m</nav><div class=post><p>a</p><p>b</p></div></form></body>", "div.post") == "a b"
-    assert extract("<body><form><nav>m</nav><p>a</p><p>b</p></form></body>", None) == "a b"
+    assert extract(f"<body>{menu}<div class='content-sidebar-wrap'>{ARTICLE}</div><footer>f</footer></body>") == "T a b"
+    assert extract(f"<body><form action=x>{menu}{ARTICLE}</form></body>") == "T a b"
+    assert extract("<body><form><nav>m</nav><p>a</p><p>b</p></form></body>") == "a b"
 
 
 def test_furniture_beside_the_article_stays_out():
     page = f"<body>{ARTICLE}<form><main>login</main></form><div class=related><article>r</article></div></body>"
-    assert extract(page, None) == "T a b"
+    assert extract(page) == "T a b"
+
+
+def plain(k: int, rng: random.Random) -> tuple[str, str]:
+    """A page without article or main tags, and its main text."""
+    words = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    title, parts = words(4), [words(12) for _ in range(1 + k % 4)]
+    sub = f"<h3>{words(3)}</h3>" if k % 3 == 0 else ""
+    body = "".join(f"<p>{p}</p>" for p in parts)
+    top = "<div><b>The Daily Page</b><div>All rights are ours</div></div>"
+    page = f"<html><body>{top}<div><h2>{title}</h2>{sub}{body}</div><div><span>Call 555</span></div></body></html>"
+    return page, " ".join([title, *([sub[4:-5]] if sub else []), *parts])
+
+
+def test_constants_of_the_template_go_by_the_wrapper():
+    rng = random.Random(4)
+    pages = [plain(k, rng) for k in range(12)]
+    wrapper = infer([p for p, _ in pages[:6]])
+    for page, text in pages:
+        assert extract(page, wrapper) == text
+        assert extract(page) == f"The Daily Page All rights are ours {text} Call 555"
+    assert "( <p> #slot </p> )+" in str(wrapper) and "( <h3> #slot </h3> )?" in str(wrapper) and "'Call 555'" in str(wrapper)
+    assert Wrapper.load(wrapper.dump()).match(list(tokens(pages[7][0]))) == wrapper.match(list(tokens(pages[7][0])))
+
+
+def test_another_template_of_the_host_is_read_by_itself():
+    rng = random.Random(5)
+    wrapper = infer([plain(k, rng)[0] for k in range(6)])
+    other = "<body><ul><li>x</li></ul><table><tr><td>y</td></tr></table><article><p>z</p></article></body>"
+    assert extract(other, wrapper) == "z"
+
+
+def test_long_pages_are_aligned_whole():
+    rng = random.Random(6)
+    middle = ["<p>{}</p><i>{}</i>".format(k, k) * (1 + k % 2) + f"<b id=x{k}>c</b>" for k in range(3000)]
+    a = [x.key for x in stream(list(tokens("".join(middle))))]
+    b = [k for k in a if rng.random() > 0.05]
+    assert len(align(a, b)) > 0.9 * len(b)
+    text = "<article><p>" + "</p><p>".join(f"w{k}" for k in range(50_000)) + "</p></article>"
+    assert extract(text, infer([plain(k, rng)[0] for k in range(4)])).split() == [f"w{k}" for k in range(50_000)]
+
+
+def test_wrappers_by_host(spark):
+    rng = random.Random(7)
+    pages = [plain(k, rng) for k in range(20)]
+    rows = spark.createDataFrame([(k, f"http://h{k % 2}.example/{k}", p) for k, (p, _) in enumerate(pages)], "page_id long, url string, html string")
+    for options in ({}, {"sample": 4}):
+        got = {r.page_id: r.text for r in extract_main_text(rows, **options).collect()}
+        assert got == {k: t for k, (_, t) in enumerate(pages)}
