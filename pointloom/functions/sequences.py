@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 MASK = 0xFFFFFFFF
 #: FNV-1a offset basis and prime (32 bits).
 FNV_BASIS, FNV_PRIME = 2166136261, 16777619
+#: States in a run of a sequence.
+_RUN = 64
 
 
 def _low32(c: Column) -> Column:
@@ -26,8 +28,12 @@ def random_sequence(seed: Column, n: int) -> Column:
     start = F.when(_low32(seed) == 0, F.lit(1).cast("long")).otherwise(_low32(seed.cast("long")))
     if n <= 0:
         return F.array().cast("array<bigint>")
+    # an array is copied when it grows: states are made in short runs, and only the list of runs grows long
     grow = lambda a, _: F.concat(a, F.transform(F.array(F.element_at(a, -1)), xorshift))
-    return F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.array(start), grow), 2, n)
+    run = lambda s: F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(_RUN)), F.array(s), grow), 2, _RUN)
+    more = lambda a, _: F.concat(a, F.transform(F.array(F.element_at(F.element_at(a, -1), -1)), run))
+    runs = F.aggregate(F.sequence(F.lit(1), F.lit(-(-n // _RUN))), F.array(F.array(start)), more)
+    return F.slice(F.flatten(runs), 2, n)
 
 
 def fnv1a(bytes_: Column, basis: int = FNV_BASIS) -> Column:

@@ -26,10 +26,18 @@ def key_hash(voxels: DataFrame) -> DataFrame:
 
 def label_hash(scans: DataFrame, cells: DataFrame, p: PipelineParams) -> DataFrame:
     """(scan_id, h_labels): labels of the dense grid, -1 in empty cells, four bytes each."""
-    found = cells.groupBy("scan_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "label"))).alias("m"))
-    label = lambda c: F.when(F.col("m").isNotNull(), F.coalesce(F.try_element_at("m", c), F.lit(-1))).otherwise(F.lit(-1))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(p.gw * p.gh - 1)), lambda c: little_endian(label(c)))
-    return scans.select("scan_id").join(found, "scan_id", "left").select("scan_id", fnv1a(F.flatten(dense)).alias("h_labels"))
+
+    def dense(cell: np.ndarray, label: np.ndarray) -> int:
+        grid = np.full(p.gw * p.gh, -1, dtype="<i4")
+        grid[cell] = label
+        return fnv1a_bytes(grid.tobytes())
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"scan_id": [pdf["scan_id"].iloc[0]], "h_labels": [dense(pdf["cell"].to_numpy(), pdf["label"].to_numpy())]})
+
+    found = cells.select("scan_id", "cell", "label").groupBy("scan_id").applyInPandas(one, "scan_id long, h_labels long")
+    none = np.zeros(0, dtype=np.int64)
+    return scans.select("scan_id").join(found, "scan_id", "left").select("scan_id", F.coalesce("h_labels", F.lit(dense(none, none))).alias("h_labels"))
 
 
 def centroid_hash(voxels: DataFrame) -> DataFrame:

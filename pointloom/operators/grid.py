@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import bev_cell
 from ..params import PipelineParams
+from ..sources.folders import scratch_folder
 
 
 def occupancy(flagged: DataFrame, p: PipelineParams) -> DataFrame:
@@ -65,14 +64,10 @@ def neighbours(occ: DataFrame, p: PipelineParams) -> DataFrame:
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of an iterative plan: through the shared checkpoint folder, or in memory on a local master."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return spark.createDataFrame(df.toArrow()) if spark.sparkContext.master.startswith("local[") else df.checkpoint()
-    path = f"{folder.rstrip('/')}/pointloom-grid/{name}-{uuid.uuid4().hex}"
+    """Cut the lineage of an iterative plan by a table in the shared folder."""
+    path = scratch_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(occupied: np.ndarray, gw: int, gh: int) -> tuple[np.ndarray, int]:

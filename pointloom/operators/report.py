@@ -46,10 +46,9 @@ def validation_summary(validation: DataFrame, base: str = "cpu_t1") -> DataFrame
     )
 
 
-def upper_median(c: Column) -> Column:
-    """The middle value; of an even number, the larger of the two."""
-    v = F.sort_array(F.collect_list(c))
-    return F.get(v, F.floor(F.size(v) / 2).cast("int"))
+def upper_median(name: str) -> Column:
+    """The middle value of a column; of an even number, the larger of the two."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{name}` DESC)")
 
 
 def rolling_median(df: DataFrame, value: str, order: list[str], by: list[str], width: int = 12) -> DataFrame:

@@ -7,6 +7,7 @@ included, as long as both sides are REAL.
 
 from __future__ import annotations
 
+from ..functions import colors
 from ..operators.report import IMPLEMENTATIONS
 from ..sources.scans import FIXTURE_SQL
 
@@ -86,8 +87,8 @@ TIMING = f"timing AS ({TIMING_SQL.format(events='events')})"
 VALIDATION = f"validation AS ({VALIDATION_SQL.format(events='events')})"
 
 HEIGHT = "least(0.9999, greatest(0.0, (z::DOUBLE + 2.2) / 3.4)) * 4"
-RAMP = "[[38.0,70,140],[40,150,190],[120,205,150],[245,215,100],[255,250,235]]"
-PALETTE = "[[255.0,107,107],[255,180,84],[250,232,96],[126,231,135],[91,192,255],[176,132,255],[255,138,208],[64,224,208],[255,153,102],[173,255,47],[135,176,255],[255,99,172]]"
+RAMP, PALETTE = (str([[float(v) for v in c] for c in colors]) for colors in (colors.RAMP, colors.PALETTE))
+GOLDEN = ("n_voxels", "best_hyp", "best_score", "n_ground", "n_clusters", "n_small")
 
 
 def _rgb(select: str) -> str:
@@ -97,6 +98,21 @@ def _rgb(select: str) -> str:
 _RAMP_K = lambda k: f"round({RAMP}[floor(t)::INTEGER + 1][{k}] + ({RAMP}[floor(t)::INTEGER + 2][{k}] - {RAMP}[floor(t)::INTEGER + 1][{k}]) * (t - floor(t)), 6)"
 _HASH = "(xor(h, h >> 15) % 12)::INTEGER"
 
+
+
+def _list(c: tuple) -> str:
+    return str([float(v) for v in c])
+
+
+def _bytes(v: str) -> str:
+    return ", ".join(f"({v} >> {8 * k}) & 255" for k in range(4))
+
+
+def _fnv(values: str, order: str) -> str:
+    """FNV-1a over the bytes ``values`` of all rows of a group in order."""
+    return f"list_reduce(list_prepend(2166136261::UBIGINT, flatten(list([{values}]::UBIGINT[] ORDER BY {order}))), lambda h, b: (xor(h, b) * 16777619) & 4294967295)::BIGINT"
+
+
 ORACLES: dict[str, str] = {
     "scan_stats": sql([POINTS], "SELECT scan_id, count(*) AS n_points, min(idx) AS first_idx, max(idx) AS last_idx FROM pts GROUP BY 1"),
     "roi_filter": sql([POINTS], f"SELECT scan_id, idx, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM pts WHERE {ROI}"),
@@ -128,9 +144,9 @@ ORACLES: dict[str, str] = {
     "compare_quantized": sql(
         [*FULL, *QUANT, *chain("2", "dq"), *components("2")],
         """SELECT b.scan_id, (g2.n_voxels - g.n_voxels)::INTEGER AS voxel_count_diff, coalesce(k.key_mismatch, 0)::INTEGER AS key_mismatch, (b2.best_hyp = b.best_hyp)::INTEGER AS best_hyp_same,
-        (b2.best_score - b.best_score)::INTEGER AS score_diff, (g2.n_ground - g.n_ground)::INTEGER AS ground_diff, coalesce(m.label_mismatch, 0)::INTEGER AS label_mismatch, (c2.n_clusters - c.n_clusters)::INTEGER AS cluster_diff
+        (b2.best_score - b.best_score)::INTEGER AS score_diff, (g2.n_ground - g.n_ground)::INTEGER AS ground_diff, coalesce(m.label_mismatch, 0)::INTEGER AS label_mismatch, (c2.n_clusters - c.n_clusters)::INTEGER AS cluster_diff, round(coalesce(k.far, 0)::DOUBLE, 4) AS max_centroid_diff
         FROM best b JOIN best2 b2 USING (scan_id) JOIN ground g USING (scan_id) JOIN ground2 g2 USING (scan_id) JOIN clusters c USING (scan_id) JOIN clusters2 c2 USING (scan_id)
-        LEFT JOIN (SELECT a.scan_id, count(*) FILTER (WHERE a.key <> z.key) AS key_mismatch FROM ranked a JOIN ranked2 z ON z.scan_id = a.scan_id AND z.rn = a.rn GROUP BY 1) k USING (scan_id)
+        LEFT JOIN (SELECT a.scan_id, count(*) FILTER (WHERE a.key <> z.key) AS key_mismatch, max(greatest(abs(a.x - z.x), abs(a.y - z.y), abs(a.z - z.z))) FILTER (WHERE a.key = z.key) AS far FROM ranked a JOIN ranked2 z ON z.scan_id = a.scan_id AND z.rn = a.rn GROUP BY 1) k USING (scan_id)
         LEFT JOIN (SELECT scan_id, count(*) FILTER (WHERE coalesce(a.label, -1) <> coalesce(z.label, -1)) AS label_mismatch FROM labels a FULL JOIN labels2 z USING (scan_id, cell) GROUP BY 1) m USING (scan_id)""",
     ),
     "seed_sweep": sql(
@@ -141,6 +157,30 @@ ORACLES: dict[str, str] = {
         BASE,
         "SELECT scan_id, list_reduce(list_prepend(2166136261::UBIGINT, flatten(list([key & 255, (key >> 8) & 255, (key >> 16) & 255, (key >> 24) & 255]::UBIGINT[] ORDER BY key))), lambda h, b: (xor(h, b) * 16777619) & 4294967295)::BIGINT AS h_keys FROM vox GROUP BY 1",
     ),
+    "fingerprints": sql(
+        [*FULL, "grid AS (SELECT s.scan_id, c.range AS cell, coalesce(l.label, -1) AS label FROM scans s, range(40000) c LEFT JOIN labels l ON l.scan_id = s.scan_id AND l.cell = c.range)"],
+        f"SELECT scan_id, h_keys, h_labels, h_centroids FROM (SELECT scan_id, {_fnv(_bytes('key'), 'key')} AS h_keys, {_fnv(', '.join(_bytes(f'({c}::BIT::UINTEGER)') for c in 'xyz'), 'key')} AS h_centroids FROM vox GROUP BY 1) "
+        f"JOIN (SELECT scan_id, {_fnv(_bytes('(label & 4294967295)'), 'cell')} AS h_labels FROM grid GROUP BY 1) USING (scan_id)",
+    ),
+    "propagation_labels": sql(FULL, "SELECT scan_id, cell, label FROM labels"),
+    "propagation_rounds": sql(
+        [*FULL, "far(scan_id, cell, n) USING KEY (scan_id, cell) AS (SELECT scan_id, cell, 0 FROM labels WHERE cell = label UNION SELECT e.scan_id, e.v, min(f.n) + 1 FROM far f JOIN e ON e.scan_id = f.scan_id AND e.u = f.cell "
+         "LEFT JOIN recurring.far r ON r.scan_id = e.scan_id AND r.cell = e.v WHERE r.cell IS NULL GROUP BY 1, 2)"],
+        "SELECT scan_id, (ceil((max(n) + 1) / 16.0) * 16)::INTEGER AS prop_iters FROM far GROUP BY 1",
+    ),
+    "scans_roundtrip": sql([POINTS], "SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY idx) - 1 AS idx, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, i::DOUBLE AS i FROM pts WHERE scan_id < 3"),
+    "frames_roundtrip": sql([POINTS, *QUANT], "SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY idx) - 1 AS idx, qx, qy, qz FROM q"),
+    "timing_csv": sql([TIMING], "SELECT * FROM timing"),
+    "golden_mismatches": sql(
+        [*FULL, "r AS (SELECT b.scan_id, n_voxels, best_hyp, best_score, n_ground, n_clusters, n_small FROM best b JOIN clusters USING (scan_id) JOIN ground USING (scan_id))"],
+        "SELECT *, got = want AS same FROM (" + " UNION ALL ".join(f"SELECT format('f{{:02d}}.bin', scan_id) AS file, '{c}' AS key, {c}::BIGINT AS got, {c}::BIGINT{' + scan_id % 2' if c == 'n_clusters' else ''} AS want FROM r" for c in GOLDEN) + ")",
+    ),
+    "colorize_voxels": sql(
+        [*FULL, labelled(), "h AS (SELECT *, (greatest(label, 0)::UBIGINT * 2654435761) & 4294967295 AS h FROM vlab)",
+         f"p AS (SELECT scan_id, key, 'ground' AS stage, CASE WHEN label = -2 THEN {_list(colors.GROUND)} ELSE {_list(colors.OFF_GROUND)} END AS c FROM h UNION ALL "
+         f"SELECT scan_id, key, 'object', CASE label WHEN -2 THEN {_list(colors.GROUND_DIM)} WHEN -1 THEN {_list(colors.SMALL)} ELSE {PALETTE}[{_HASH} + 1] END FROM h)"],
+        "SELECT scan_id, key, stage, c[1]::DOUBLE AS r, c[2]::DOUBLE AS g, c[3]::DOUBLE AS b FROM p",
+    ),
     "latency_summary": sql(
         [TIMING, "s AS (SELECT impl, scan, median(h2d) AS h2d, median(voxel) AS voxel, median(ransac) AS ransac, median(cluster) AS cluster, median(d2h) AS d2h, median(total) AS total, median(prop_iters::DOUBLE) AS prop_iters FROM timing GROUP BY 1, 2)",
          "r AS (SELECT impl, median(h2d) AS h2d, median(voxel) AS voxel, median(ransac) AS ransac, median(cluster) AS cluster, median(d2h) AS d2h, median(total) AS total, quantile_cont(total, 0.95) AS total_p95, max(total) AS total_max, median(prop_iters) AS prop_iters_med FROM s GROUP BY 1)"],
