@@ -11,12 +11,25 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import dequant, in_roi, quant
 from ..params import POINTS, PipelineParams
+from .folders import scratch_folder
 
 
 def list_scans(spark: SparkSession, folder: str, max_scans: int = 0) -> DataFrame:
-    """(scan_id, path, length): ``.bin`` files in path order; scan_id counts from 0.  Listing is one row per file."""
+    """(scan_id, path, length): ``.bin`` files in path order; scan_id counts from 0.
+
+    Paths are dealt out by ranges and numbered in each; a range starts after those before it.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "?*.bin").load(folder).select("path", "length")
-    out = files.withColumn("scan_id", F.row_number().over(Window.orderBy("path")).cast("long") - 1).select("scan_id", "path", "length")
+    listing = scratch_folder(spark, "listing")
+    files.repartitionByRange("path").withColumn("part", F.spark_partition_id()).write.parquet(listing)
+    dealt = spark.read.schema("path string, length long, part int").parquet(listing)
+    first, before = [0], 0
+    for r in dealt.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        first += [0] * (r.part + 1 - len(first))
+        first[r.part], before = before, before + r.n
+    start = F.get(F.array(*[F.lit(n).cast("long") for n in first]), F.col("part"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("path"))
+    out = dealt.select((start + own - 1).alias("scan_id"), "path", "length")
     return out.filter(F.col("scan_id") < max_scans) if max_scans else out
 
 
