@@ -23,6 +23,8 @@ SUMMARY = "scan_id long, n_voxels long, best_hyp int, best_score int, n_ground i
 _BLOCK = 8192
 #: Voxels of one plane's pass: three columns and two buffers stay in cache.
 _RUN = 16384
+#: Edges of the boxes of voxels that bound a plane's count.
+_BOX = np.array([3.2, 3.2, 0.4])
 f4 = np.float32
 
 
@@ -68,17 +70,59 @@ def count_inliers(planes: np.ndarray, xyz: np.ndarray, threshold: float) -> np.n
     return total
 
 
+def _boxes(xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float] | None:
+    """(centres, voxels in each, half edges, bound of rounding) of the boxes that hold voxels; None where a grid of boxes does not pay."""
+    if not len(xyz) or len(xyz) >= 1 << 24:
+        return None
+    low, high = xyz.min(axis=0).astype(np.float64), xyz.max(axis=0).astype(np.float64)
+    if not np.isfinite(high - low).all():
+        return None
+    shape = np.floor((high - low) / _BOX).astype(np.int64) + 1
+    if shape.prod() > 16 * len(xyz):
+        return None
+    place = np.zeros(len(xyz), dtype=np.int32)
+    for c, lo, edge, n in zip(xyz.T, low, _BOX, shape):
+        # rounding may put a voxel one box too far; that is inside the bound
+        place *= np.int32(n)
+        place += np.minimum(((c - f4(lo)) * f4(1 / edge)).astype(np.int32), np.int32(n - 1))
+    size = np.bincount(place)
+    held = np.flatnonzero(size)
+    centres = low + (np.stack(np.unravel_index(held, shape), axis=1) + 0.5) * _BOX
+    # 24 bits of a number up to the largest coordinate, three products and sums of them, here and in the pass itself
+    return centres.astype(np.float32), size[held].astype(np.float32), (_BOX / 2).astype(np.float32), float(np.abs([low, high]).max() * 2e-5 + 1e-6)
+
+
+def possible_inliers(planes: np.ndarray, xyz: np.ndarray, threshold: float) -> np.ndarray:
+    """For each plane at least as many voxels as lie on it: those of every box that it comes near."""
+    boxes = _boxes(xyz)
+    if boxes is None:
+        return np.full(len(planes), len(xyz), dtype=np.int64)
+    centres, size, half, rounding = boxes
+    reach = np.abs(planes[:, :3]) @ half + f4(threshold + rounding)
+    out = np.empty(len(planes), dtype=np.int64)
+    for a in range(0, len(planes), 32):
+        far = planes[a : a + 32, :3] @ centres.T
+        far += planes[a : a + 32, 3:]
+        out[a : a + 32] = (np.abs(far, out=far) <= reach[a : a + 32, None]).astype(np.float32) @ size
+    return out
+
+
 def most_inliers(planes: np.ndarray, xyz: np.ndarray, threshold: float) -> tuple[int, int]:
     """(first plane with most voxels on it, how many).
 
-    One plane after the other over blocks that stay in cache; a plane is left
-    as soon as the voxels still to come cannot lift it above the best so far.
+    Planes come in descending order of what boxes of voxels leave possible, until
+    that is less than the best so far; then one plane after the other over blocks
+    that stay in cache, left as soon as the voxels still to come cannot lift it.
     """
     columns = np.ascontiguousarray(xyz.T)
     blocks = [tuple(np.ascontiguousarray(c[a : a + _RUN]) for c in columns) for a in range(0, len(xyz), _RUN)]
     out, term, near = np.empty(_RUN, np.float32), np.empty(_RUN, np.float32), np.empty(_RUN, bool)
     best, most, limit = -1, -1, f4(threshold)
-    for k, (a, b, c, d) in enumerate(planes):
+    possible = possible_inliers(planes, xyz, threshold)
+    for k in np.argsort(-possible, kind="stable"):
+        if possible[k] < most:
+            break
+        a, b, c, d = planes[k]
         total, left = 0, len(xyz)
         for x, y, z in blocks:
             n = len(x)
@@ -90,10 +134,10 @@ def most_inliers(planes: np.ndarray, xyz: np.ndarray, threshold: float) -> tuple
             np.less(np.abs(v, out=v), limit, out=m)
             total += np.count_nonzero(m)
             left -= n
-            if total + left <= most:
+            if total + left < most:
                 break
-        if total > most:
-            best, most = k, total
+        if total > most or (total == most and k < best):
+            best, most = int(k), total
     return best, int(most)
 
 

@@ -289,3 +289,17 @@ def test_whole_frames_and_large_grids(spark, tmp_path):
     (tmp_path / "0000000012.bin").write_bytes(data.tobytes())
     assert [r.scan_id for r in scans.scan_contents(spark, str(tmp_path)).collect()] == [12]
     assert "Exchange" not in pipeline.summary_of_scans(contents, P)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("n, spread, flat", [(1, 5, 1), (40, 0.5, 1), (3000, 40, 0.02), (3000, 5, 1), (500, 1e4, 1)])
+def test_bounded_plane_search_equals_counting_all(n, spread, flat):
+    rng = np.random.default_rng(n)
+    xyz = (rng.normal(0, spread, (n, 3)) * [1, 1, flat]).astype(np.float32)
+    for points in (xyz, np.round(xyz * 5) / np.float32(5)):  # the second has ties and voxels on edges of boxes
+        planes = detect.fit_planes(points, detect.random_states(7, 3 * 128), 0.0)
+        planes = planes[~np.isnan(planes[:, 0])]
+        if not len(planes):
+            continue
+        counts = detect.count_inliers(planes, points, 0.2)
+        assert (detect.possible_inliers(planes, points, 0.2) >= counts).all()
+        assert detect.most_inliers(planes, points, 0.2) == (int(counts.argmax()), int(counts.max()))
