@@ -1,12 +1,13 @@
 """Main text of web pages by union-free wrapper inference.
 
-For each host, a few pages are aligned into a wrapper, a regular expression
+All pages of a host are aligned into a wrapper, a regular expression
 without unions: tokens are tags and text; immediate repeats of a token sequence
 become a repeated group ``( ... )+``, of which a single occurrence on another page
-is a match; pages are aligned one after another, and a mismatch of text becomes a
-slot, a mismatch of tags an optional group ``( ... )?``.  The innermost element
-whose slots hold most of the text that differs between pages is the host's main
-element.
+is a match; a mismatch of text becomes a slot, a mismatch of tags an optional group
+``( ... )?``.  Tokens match in equal elements only, so templates of a host keep apart.  Each task folds its pages into one wrapper per host, then wrappers of
+``FAN`` tasks at a time are folded into one until each host has one, so a host with
+a third of all pages meets nowhere as pages.  The innermost element whose slots hold
+most of the text that differs between pages is the host's main element.
 
 Every page is then read whole.  Its tokens are aligned with its host's wrapper:
 that tells where the main element starts and ends on this page, and which texts
@@ -18,11 +19,15 @@ wrapper does not match in half its tokens, or a host with one page, is read by
 its article, main element or body.  Where a form or a listed class word stands
 around the page's main text, or around all its text, it does not count as furniture.
 
-Bounds (parameters): a wrapper is inferred from at most ``sample`` pages of a host,
-one per hash bucket (the aggregate keeps one page per host, bucket and task), each
-taken whole; repeats of up to ``repeat`` tokens are found; stretches without a
-common token that both pages have once are aligned exactly up to ``CELLS`` pairs of
-tokens, and count as different beyond.  Extraction has no bound.
+Parameters: a wrapper keeps every node that at least ``rare`` of the host's pages
+have (lossy counting: rarer ones may go, so that it stays bounded however many pages
+and templates a host has; below 1 / ``rare`` pages nothing goes); repeats of up to
+``repeat`` tokens are found; stretches without a common token that both sides have
+once are aligned exactly up to ``CELLS`` pairs of tokens, and count as different
+beyond.  Of a node's texts, the frequent ones are counted (Misra-Gries); a text of at
+least ``MOSTLY`` of a node's pages, and of ``CONSTANT`` pages that are not copies, is a
+constant.  Which of several equal alignments is found depends on how pages are dealt to
+tasks.  Extraction has no bound.
 
 Defined results: a null or empty html has the empty text; a null url belongs
 to the host ''; repeated pages get equal results; unclosed or misnested tags
@@ -33,22 +38,29 @@ from __future__ import annotations
 
 import bisect
 import functools
+import hashlib
 import html as htmllib
 import json
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
-SAMPLE, REPEAT, CELLS = 8, 12, 250_000
-#: Pages on which a text must be the same to be a constant of the template.
-CONSTANT = 3
+RARE, REPEAT, CELLS = 0.02, 12, 250_000
+#: Pages that are not copies, and share of all pages, on which a text must be the same to be a constant of the template.
+CONSTANT, MOSTLY = 3, 0.8
+#: Texts counted per node; a text of more than ``MOSTLY`` of the pages is among them whatever their order.
+TEXTS = 8
+#: Wrappers folded into one at a time; nodes a task holds before it writes its wrappers.
+FAN, HELD = 32, 100_000
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>|[^<]++|<",
@@ -200,12 +212,12 @@ def _chosen(blocks: list[tuple[str, int]]) -> tuple[str, int]:
 
 
 class Node:
-    """A token of a page, or a repeated group: its key, text, characters outside furniture, and first and last token."""
+    """A token of a page, or a repeated group: its key, the element it stands in or closes, text, characters outside furniture, and first and last token."""
 
-    __slots__ = ("key", "text", "chars", "first", "last")
+    __slots__ = ("key", "up", "text", "chars", "first", "last")
 
-    def __init__(self, key, text: str | None, chars: int, first: int, last: int):
-        self.key, self.text, self.chars, self.first, self.last = key, text, chars, first, last
+    def __init__(self, key, up: str, text: str | None, chars: int, first: int, last: int):
+        self.key, self.up, self.text, self.chars, self.first, self.last = key, up, text, chars, first, last
 
 
 def stream(page: list[tuple[str, str, str]], repeat: int = REPEAT) -> list[Node]:
@@ -213,6 +225,8 @@ def stream(page: list[tuple[str, str, str]], repeat: int = REPEAT) -> list[Node]
     out: list[Node] = []
     keys: list = []  # of ``out``
     off, off_name = 0, ""
+    opened: list[tuple[str, str]] = [("", "")]  # name, key
+    names: Counter = Counter()
     for at, (kind, name, rest) in enumerate(page):
         if kind == "text":
             text = " ".join(rest.split())
@@ -223,9 +237,18 @@ def stream(page: list[tuple[str, str, str]], repeat: int = REPEAT) -> list[Node]
                 out[-1].chars += 0 if off else len(text)
                 out[-1].last = at
                 continue
-            node = Node("#text", text, 0 if off else len(text), at, at)
+            node = Node("#text", opened[-1][1], text, 0 if off else len(text), at, at)
         else:
-            node = Node(f"/{name}" if kind == "end" else _key(name, rest) if rest else name, None, 0, at, at)
+            node = Node(f"/{name}" if kind == "end" else _key(name, rest) if rest else name, opened[-1][1], None, 0, at, at)
+            if kind == "start" and name not in VOID:
+                opened.append((name, node.key))
+                names[name] += 1
+            elif kind == "end" and names[name]:
+                while True:
+                    closed, node.up = opened.pop()
+                    names[closed] -= 1
+                    if closed == name:
+                        break
             if kind == "start" and not off and name not in VOID and _furniture(name, rest, False):
                 off, off_name = 1, name
             elif off and name == off_name:
@@ -244,13 +267,17 @@ def stream(page: list[tuple[str, str, str]], repeat: int = REPEAT) -> list[Node]
                 del out[-n:], keys[-n:]
                 break
             if len(out) >= 2 * n and "#text" in tail and tail == tuple(keys[-2 * n : -n]):
-                out[-2 * n :] = [Node(("+", tail), None, sum(x.chars for x in out[-2 * n :]), out[-2 * n].first, at)]
+                out[-2 * n :] = [Node(("+", tail), out[-2 * n].up, None, sum(x.chars for x in out[-2 * n :]), out[-2 * n].first, at)]
                 keys[-2 * n :] = [("+", tail)]
                 break
     return out
 
 
-def grouped(nodes: list[Node], groups: set[tuple]) -> list[Node]:
+def _one_group(own: list[Node], group: tuple) -> Node:
+    return Node(("+", group), own[0].up, None, sum(x.chars for x in own), own[0].first, own[-1].last)
+
+
+def grouped(nodes: list, groups: set[tuple], join=_one_group) -> list:
     """Single occurrences of the repeated groups of other pages become groups too."""
     by_first: dict = {}
     for g in sorted(groups, key=lambda g: (-len(g), str(g))):
@@ -260,7 +287,7 @@ def grouped(nodes: list[Node], groups: set[tuple]) -> list[Node]:
         for g in by_first.get(nodes[i].key, ()):
             own = nodes[i : i + len(g)]
             if len(own) == len(g) and all(x.key == k for x, k in zip(own, g)):
-                out.append(Node(("+", g), None, sum(x.chars for x in own), own[0].first, own[-1].last))
+                out.append(join(own, g))
                 i += len(g)
                 break
         else:
@@ -324,18 +351,18 @@ class Wrapper:
     """A union-free expression: keys with a constant text or a slot, optional or not; and the nodes of the main element."""
 
     def __init__(self, nodes: list[tuple], main: tuple[int, int] | None, repeat: int = REPEAT):
-        self.nodes, self.main, self.repeat = nodes, main, repeat  # key, constant, optional
-        self.keys = [n[0] for n in nodes]
-        self.groups = {k[1] for k in self.keys if isinstance(k, tuple)}
+        self.nodes, self.main, self.repeat = nodes, main, repeat  # key, constant, optional, the element it stands in
+        self.keys = [(n[3], n[0]) for n in nodes]
+        self.groups = {k[1] for _, k in self.keys if isinstance(k, tuple)}
 
     def match(self, page: list[tuple[str, str, str]]) -> tuple[tuple[int, int] | None, frozenset[int]]:
         """(first and last token of the main element, tokens that are constants) of a page; (None, none) if it has another template."""
         own = grouped(stream(page, self.repeat), self.groups)
-        pairs = align(self.keys, [x.key for x in own])
+        pairs = align(self.keys, [(x.up, x.key) for x in own])
         if 2 * len(pairs) < len(own):
             return None, frozenset()
         place = dict(pairs)
-        constants = frozenset(t for i, j in pairs if self.nodes[i][1] is not None and self.nodes[i][1] == own[j].text for t in range(own[j].first, own[j].last + 1))
+        constants = frozenset(t for i, j in pairs if self.nodes[i][1] is not None and self.nodes[i][1] == _short(own[j].text) for t in range(own[j].first, own[j].last + 1))
         ends = [place.get(i) for i in self.main] if self.main else [None]
         return (own[ends[0]].first, own[ends[1]].last) if None not in ends else None, constants
 
@@ -345,8 +372,7 @@ class Wrapper:
     @classmethod
     def load(cls, text: str) -> Wrapper:
         nodes, main, repeat = json.loads(text)
-        key = lambda k: ("+", tuple(map(key, k[1]))) if isinstance(k, list) else k
-        return cls([(key(k), text, optional) for k, text, optional in nodes], main and tuple(main), repeat)
+        return cls([(_tuples(k), *rest) for k, *rest in nodes], main and tuple(main), repeat)
 
     def __str__(self) -> str:
         def one(k) -> str:
@@ -355,7 +381,7 @@ class Wrapper:
             return "#slot" if k == "#text" else f"<{k}>"
 
         out, within = [], False
-        for k, text, optional in self.nodes:
+        for k, text, optional, _ in self.nodes:
             if optional != within:
                 out.append("(" if optional else ")?")
                 within = optional
@@ -368,44 +394,163 @@ def _loaded(text: str) -> Wrapper:
     return Wrapper.load(text)
 
 
-def infer(pages: list[str], repeat: int = REPEAT) -> Wrapper | None:
-    """The wrapper of pages of one host; None for fewer than two different pages."""
-    pages = list(dict.fromkeys(pages))
-    if len(pages) < 2:
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _short(text: str | None) -> str | None:
+    """A text up to 64 characters as it is, a longer one by its length and 128 bits of its digest."""
+    return text if text is None or len(text) <= 64 else f"\0{len(text)} {_digest(text)}"
+
+
+def _length(short: str) -> int:
+    return int(short[1:].split()[0]) if short[:1] == "\0" else len(short)
+
+
+def _least(a: list[str], b: list[str]) -> list[str]:
+    """The smallest different digests of two such lists: enough to tell whether there are ``CONSTANT``."""
+    return a if len(a) == CONSTANT and b == a else sorted({*a, *b})[:CONSTANT]
+
+
+class Part:
+    """A node of a fold: key, the element it stands in, characters outside furniture and pages that have it, pages before it was first kept, frequent texts."""
+
+    __slots__ = ("key", "up", "chars", "pages", "missed", "texts")
+
+    def __init__(self, key, up: str, chars: int, pages: int, missed: int, texts: dict[str, list]):
+        self.key, self.up, self.chars, self.pages, self.missed, self.texts = key, up, chars, pages, missed, texts
+
+    def add(self, other: Part) -> None:
+        self.chars += other.chars
+        self.pages += other.pages
+        self.missed += other.missed
+        for t, (count, pages) in other.texts.items():
+            own = self.texts.get(t)
+            self.texts[t] = [own[0] + count, _least(own[1], pages)] if own else [count, pages]
+        if len(self.texts) > TEXTS:
+            less = sorted((n for n, _ in self.texts.values()), reverse=True)[TEXTS]
+            self.texts = {t: [n - less, pages] for t, (n, pages) in self.texts.items() if n > less}
+
+    def varying(self) -> int:
+        """Characters outside furniture, but for those of a text that most of its pages share."""
+        t, (n, _) = max(self.texts.items(), key=lambda x: (x[1][0], x[0]), default=("", (0, None)))
+        return max(0, self.chars - n * _length(t)) if n >= MOSTLY * self.pages else self.chars
+
+    def constant(self) -> str | None:
+        for t, (n, pages) in self.texts.items():
+            if n >= MOSTLY * self.pages and len(pages) >= CONSTANT:
+                return t
         return None
-    streams = [stream(list(tokens(p)), repeat) for p in pages]
-    groups = {x.key[1] for s in streams for x in s if isinstance(x.key, tuple)}
-    merged: list[list] = []  # key, constant, characters of slots and repeats, optional, pages
-    for n, s in enumerate(grouped(s, groups) for s in streams):
-        if not n:
-            merged = [[x.key, x.text, 0 if x.key == "#text" else x.chars, False, 1] for x in s]
-            first = {id(w): x.chars for w, x in zip(merged, s)}
-            continue
-        out: list[list] = []
+
+
+def _parts_of_group(own: list[Part], group: tuple) -> Part:
+    return Part(("+", group), own[0].up, sum(x.chars for x in own), max(x.pages for x in own), min(x.missed for x in own), {})
+
+
+def _tuples(key):
+    return ("+", tuple(map(_tuples, key[1]))) if isinstance(key, list) else key
+
+
+class Fold:
+    """What pages of a host have in common: their nodes in order, each with how often it came."""
+
+    def __init__(self, nodes: list[Part], n: int, seen: list[str], rare: float = RARE):
+        self.nodes, self.n, self.seen, self.rare = nodes, n, seen, rare  # seen: digests of up to CONSTANT different pages
+        self.groups = {x.key[1] for x in nodes if isinstance(x.key, tuple)}
+        self.places: dict[tuple, list[Part]] = {}  # the nodes that a page of these keys has
+        self.due = n + math.ceil(1 / rare)
+
+    @classmethod
+    def of(cls, page: str, repeat: int = REPEAT, rare: float = RARE) -> Fold:
+        name = _digest(page)
+        own = stream(list(tokens(page)), repeat)
+        return cls([Part(x.key, x.up, x.chars, 1, 0, {} if x.text is None else {_short(x.text): [1, [name]]}) for x in own], 1, [name], rare)
+
+    def _group(self, groups: set[tuple]) -> None:
+        """Take over repeated groups that another side knows."""
+        if groups:
+            self.nodes = grouped(self.nodes, groups, _parts_of_group)
+            self.groups = {x.key[1] for x in self.nodes if isinstance(x.key, tuple)}
+            self.places = {}
+
+    def merge(self, other: Fold) -> None:
+        mine, theirs = self.groups - other.groups, other.groups - self.groups
+        other._group(mine)
+        self._group(theirs)
+        shape = tuple((x.up, x.key) for x in other.nodes) if other.n == 1 else None
+        places = self.places.get(shape)
+        if places is None:
+            places = self._align(other)
+            if shape:
+                if len(self.places) >= 256:  # they only save aligning again
+                    self.places = {}
+                self.places[shape] = places
+        else:
+            for own, x in zip(places, other.nodes):
+                own.add(x)
+        self.n += other.n
+        self.seen = _least(self.seen, other.seen)
+        if self.n >= self.due:
+            self.prune()
+
+    def _align(self, other: Fold) -> list[Part]:
+        out: list[Part] = []
+        places: list[Part] = []
+        here, there = int(self.rare * self.n), int(self.rare * other.n)
         i = j = 0
-        for x, y in [*align([w[0] for w in merged], [v.key for v in s]), (len(merged), len(s))]:
-            for w in merged[i:x]:
-                w[3] = True
-                out.append(w)
-            for v in s[j:y]:
-                new = [v.key, v.text, 0 if v.key == "#text" else v.chars, True, 1]
-                first[id(new)] = v.chars
-                out.append(new)
-            if x < len(merged):
-                w, v = merged[x], s[y]
-                w[4] += 1
-                if w[1] != v.text:  # a slot from now on, with what was taken for a constant
-                    w[2] += first.get(id(w), 0) if w[1] is not None else 0
-                    w[1] = None
-                w[2] += v.chars if w[1] is None else 0
-                out.append(w)
+        for x, y in [*align([(w.up, w.key) for w in self.nodes], [(v.up, v.key) for v in other.nodes]), (len(self.nodes), len(other.nodes))]:
+            for w in self.nodes[i:x]:
+                w.missed += there
+            for v in other.nodes[j:y]:
+                v.missed += here
+            out += self.nodes[i:x] + other.nodes[j:y]
+            places += other.nodes[j:y]
+            if x < len(self.nodes):
+                self.nodes[x].add(other.nodes[y])
+                out.append(self.nodes[x])
+                places.append(self.nodes[x])
             i, j = x + 1, y + 1
-        merged = out
-    nodes = [(k, text if n >= CONSTANT else None, optional) for k, text, _, optional, n in merged]
-    return Wrapper(nodes, _main_element(merged), repeat)
+        self.nodes = out
+        self.groups |= other.groups
+        return places
+
+    def prune(self) -> None:
+        """Drop nodes that fewer than ``rare`` of the pages can have had."""
+        least = int(self.rare * self.n)
+        kept = [x for x in self.nodes if x.pages + x.missed > least]
+        if len(kept) < len(self.nodes):
+            self.nodes, self.places = kept, {}
+            self.groups = {x.key[1] for x in kept if isinstance(x.key, tuple)}
+        self.due = self.n + math.ceil(1 / self.rare)
+
+    def wrapper(self, repeat: int = REPEAT) -> Wrapper | None:
+        """None for fewer than two different pages."""
+        if len(self.seen) < 2:
+            return None
+        nodes, weighed = [], []
+        for x in self.nodes:
+            nodes.append((x.key, x.constant(), x.pages < self.n, x.up))
+            weighed.append((x.key, None, x.varying()))
+        return Wrapper(nodes, _main_element(weighed), repeat)
 
+    def dump(self) -> str:
+        return json.dumps([[[x.key, x.up, x.chars, x.pages, x.missed, x.texts] for x in self.nodes], self.n, self.seen, self.rare])
 
-def _main_element(merged: list[list]) -> tuple[int, int] | None:
+    @classmethod
+    def load(cls, text: str) -> Fold:
+        nodes, *rest = json.loads(text)
+        return cls([Part(_tuples(k), *x) for k, *x in nodes], *rest)
+
+
+def infer(pages: list[str], repeat: int = REPEAT) -> Wrapper | None:
+    """The wrapper of pages of one host; None for fewer than two different pages."""
+    folds = [Fold.of(p, repeat) for p in dict.fromkeys(pages)]
+    for other in folds[1:]:
+        folds[0].merge(other)
+    return folds[0].wrapper(repeat) if folds else None
+
+
+def _main_element(merged: list[tuple]) -> tuple[int, int] | None:
     """First and last node of the innermost element that holds most of the text that differs between pages."""
     total = sum(w[2] for w in merged)
     opened: list[tuple[str, int, int]] = []
@@ -433,19 +578,63 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def infer_wrappers(pages: DataFrame, sample: int = SAMPLE, repeat: int = REPEAT) -> DataFrame:
+def infer_wrappers(pages: DataFrame, rare: float = RARE, repeat: int = REPEAT, fan: int = FAN, held: int = HELD) -> DataFrame:
     """(host, wrapper, expression) per host of which several pages are known: the wrapper as JSON and as a regular expression."""
-    place = F.xxhash64("page_id", "html")
-    rows = pages.filter("html is not null").select(host(F.col("url")).alias("host"), F.pmod(place, F.lit(sample)).alias("bucket"), place.alias("place"), "html")
-    picked = rows.groupBy("host", "bucket").agg(F.min(F.struct("place", "html")).alias("one"))
-    by_host = picked.groupBy("host").agg(F.array_sort(F.collect_list(F.col("one.html"))).alias("pages"))
+    if fan < 2:
+        raise ValueError("at least two wrappers must be folded into one")
+    schema = "host string, part long, fold string"
+
+    def rows(part: int, folds: dict[str, Fold]) -> Iterator[pa.RecordBatch]:
+        for name, fold in folds.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int64()), pa.array([fold.dump()])], ["host", "part", "fold"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        folds: dict[str, Fold] = {}
+        size = 0
+        for batch in batches:
+            for name, page in zip(batch.column(0), batch.column(1)):
+                name, page = name.as_py(), Fold.of(page.as_py(), repeat, rare)
+                fold = folds.get(name)
+                if fold is None:
+                    folds[name] = page
+                    size += len(page.nodes)
+                else:
+                    before = len(fold.nodes)
+                    fold.merge(page)
+                    size += len(fold.nodes) - before
+                if size > held:
+                    yield from rows(part, folds)
+                    folds, size = {}, 0
+        yield from rows(part, folds)
+
+    def folded(texts: list[str]) -> Fold:
+        out = Fold.load(texts[0])
+        for t in texts[1:]:
+            out.merge(Fold.load(t))
+        return out
+
+    def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, part, texts in zip(*batch.columns):
+                yield from rows(part.as_py(), {name.as_py(): folded(texts.as_py())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [infer(x.as_py(), repeat) for x in batch.column(1)]
+            found = [Fold.load(x.as_py()).wrapper(repeat) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w and w.dump() for w in found], pa.string()), pa.array([w and str(w) for w in found], pa.string())], ["host", "wrapper", "expression"])
 
-    return by_host.mapInArrow(run, "host string, wrapper string, expression string").filter("wrapper is not null")
+    table = materialize(pages.filter("html is not null").select(host(F.col("url")).alias("host"), "html").mapInArrow(first, schema), "folds")
+    parts = (table.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        parts = -(-parts // fan)
+        key = F.floor(F.col("part") / fan).cast("long").alias("part")
+        groups = table.groupBy("host", key).agg(F.array_sort(F.collect_list("fold")).alias("folds"))
+        next_table = materialize(groups.mapInArrow(more, schema), "folds")
+        discard(table)
+        table = next_table
+        if parts == 1:
+            return table.select("host", "fold").mapInArrow(last, "host string, wrapper string, expression string").filter("wrapper is not null")
 
 
 def extract_main_text(pages: DataFrame, **options) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from pointloom.llm.html_extract import Wrapper, align, extract, extract_main_text, infer, stream, tokens
+from pointloom.llm.html_extract import Fold, Wrapper, align, extract, extract_main_text, infer, stream, tokens
 
 ARTICLE = "<article><h1>T</h1><p>a b</p><div class=share>s</div></article>"
 
@@ -62,6 +62,51 @@ def test_wrappers_by_host(spark):
     rng = random.Random(7)
     pages = [plain(k, rng) for k in range(20)]
     rows = spark.createDataFrame([(k, f"http://h{k % 2}.example/{k}", p) for k, (p, _) in enumerate(pages)], "page_id long, url string, html string")
-    for options in ({}, {"sample": 4}):
-        got = {r.page_id: r.text for r in extract_main_text(rows, **options).collect()}
+    for options in ({}, {"fan": 2}, {"fan": 3, "held": 60}):
+        got = {r.page_id: r.text for r in extract_main_text(rows.repartition(7), **options).collect()}
         assert got == {k: t for k, (_, t) in enumerate(pages)}
+
+
+def folded(pages: list[str], tasks: int = 1, **options) -> Fold:
+    """Pages dealt to tasks, their folds written, read and folded."""
+    parts = []
+    for k in range(tasks):
+        fold, *rest = [Fold.of(p, **options) for p in pages[k::tasks]]
+        for other in rest:
+            fold.merge(other)
+        parts.append(Fold.load(fold.dump()))
+    for other in parts[1:]:
+        parts[0].merge(other)
+    return parts[0]
+
+
+def test_a_template_that_comes_late_is_in_the_wrapper():
+    rng = random.Random(8)
+    early = [plain(k, rng) for k in range(300)]
+    late = lambda k: f"<body><table><tr><td>Second look</td></tr></table><section><h4>{k} a</h4><p>{k} b c d</p></section><dl><dt>Write to us</dt></dl></body>"
+    pages = [p for p, _ in early] + [late(k) for k in range(60)]
+    for tasks in (1, 7):
+        wrapper = folded(pages, tasks).wrapper()
+        for page, text in early:
+            assert extract(page, wrapper) == text
+        for k in range(60):
+            assert extract(late(k), wrapper) == f"{k} a {k} b c d"
+
+
+def test_folds_stay_bounded():
+    rng = random.Random(9)
+    odd = lambda k: "".join(f"<i id=x{rng.randrange(10**9)}>{k}</i>" for _ in range(5))
+    pages = [(plain(k, rng), odd(k)) for k in range(1500)]
+    for tasks in (1, 5):
+        fold = folded([p.replace("</h2>", f"</h2>{o}") for (p, _), o in pages], tasks, rare=0.05)
+        assert fold.n == 1500 and len(fold.nodes) < 40 + 15 * 20 * 4
+        assert {"div", "h2", "/h2"} <= {x.key for x in fold.nodes if x.pages >= 1400}
+        assert extract(pages[0][0][0], fold.wrapper()) == pages[0][0][1]
+
+
+def test_copies_make_no_constants():
+    rng = random.Random(10)
+    (page, text), others = plain(0, rng), [plain(k, rng) for k in range(2)]
+    wrapper = folded([page] * 500 + [p for p, _ in others], 3).wrapper()
+    assert text in extract(page, wrapper)
+    assert folded([page] * 500, 3).wrapper() is None
