@@ -92,11 +92,19 @@ def _attributes(rest: str) -> dict[str, str]:
     return {k.lower(): (a or b or c).lower() for k, a, b, c in _ATTR.findall(rest)} if "=" in rest else {}
 
 
+def _cached(f):
+    """``f(name, attributes, ...)`` with the answers for short attributes kept."""
+    kept = functools.lru_cache(maxsize=8192)(f)
+    return lambda name, rest, *more: kept(name, rest, *more) if len(rest) <= 128 else f(name, rest, *more)
+
+
+@_cached
 def _key(name: str, rest: str) -> str:
     a = _attributes(rest)
     return name + "".join(f"#{a[k]}" if k == "id" else f".{a[k]}" for k in ("class", "id") if k in a)
 
 
+@_cached
 def _furniture(name: str, rest: str, inside: bool, words_count: bool = True) -> bool:
     if (name in FURNITURE and (words_count or name not in ("form", "fieldset"))) or (name == "header" and not inside):
         return True
@@ -224,6 +232,7 @@ def stream(page: list[tuple[str, str, str]], repeat: int = REPEAT) -> list[Node]
     """The tokens of a page with repeats of up to ``repeat`` tokens collapsed; a repeated group's key is ('+', keys)."""
     out: list[Node] = []
     keys: list = []  # of ``out``
+    ends: list[str] = []  # each key, or the last one of a group: both kinds of repeat end with the key that has just come
     off, off_name = 0, ""
     opened: list[tuple[str, str]] = [("", "")]  # name, key
     names: Counter = Counter()
@@ -256,19 +265,25 @@ def stream(page: list[tuple[str, str, str]], repeat: int = REPEAT) -> list[Node]
         out.append(node)
         last = node.key
         keys.append(last)
-        for n, k in enumerate(keys[-2 : -repeat - 2 : -1], 1):
-            # both kinds of repeat end with the key that has just come
-            if k != last and (k.__class__ is str or k[1][-1] != last):
+        recent = ends[-repeat:]
+        ends.append(last)
+        if last not in recent:
+            continue
+        for n in range(1, len(recent) + 1):
+            if recent[-n] != last:
                 continue
-            tail = tuple(keys[-n:])
-            if k == ("+", tail):
-                out[-n - 1].chars += sum(x.chars for x in out[-n:])
-                out[-n - 1].last = at
-                del out[-n:], keys[-n:]
-                break
-            if len(out) >= 2 * n and "#text" in tail and tail == tuple(keys[-2 * n : -n]):
+            k, tail = keys[-n - 1], keys[-n:]
+            if k.__class__ is not str:
+                if k[1] == tuple(tail):
+                    out[-n - 1].chars += sum(x.chars for x in out[-n:])
+                    out[-n - 1].last = at
+                    del out[-n:], keys[-n:], ends[-n:]
+                    break
+            elif tail == keys[-2 * n : -n] and "#text" in tail:
+                tail = tuple(tail)
                 out[-2 * n :] = [Node(("+", tail), out[-2 * n].up, None, sum(x.chars for x in out[-2 * n :]), out[-2 * n].first, at)]
                 keys[-2 * n :] = [("+", tail)]
+                ends[-2 * n :] = [last]
                 break
     return out
 
