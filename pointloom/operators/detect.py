@@ -23,6 +23,8 @@ SUMMARY = "scan_id long, n_voxels long, best_hyp int, best_score int, n_ground i
 _BLOCK = 8192
 #: Voxels of one plane's pass: three columns and two buffers stay in cache.
 _RUN = 16384
+#: Parts of a scan's voxels for which boxes bound a plane's count each by itself, at most.
+_PARTS = 8
 #: Edges of the boxes of voxels that bound a plane's count.
 _BOX = np.array([3.2, 3.2, 0.4])
 f4 = np.float32
@@ -70,8 +72,15 @@ def count_inliers(planes: np.ndarray, xyz: np.ndarray, threshold: float) -> np.n
     return total
 
 
-def _boxes(xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float] | None:
-    """(centres, voxels in each, half edges, bound of rounding) of the boxes that hold voxels; None where a grid of boxes does not pay."""
+def _part_ends(n: int) -> list[int]:
+    """Ends of the parts of ``n`` voxels, each of whole runs."""
+    runs = -(-n // _RUN)
+    parts = min(_PARTS, runs)
+    return [min(n, (k + 1) * runs // parts * _RUN) for k in range(parts)]
+
+
+def _boxes(xyz: np.ndarray, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float] | None:
+    """(centres, voxels of each part in each, half edges, bound of rounding) of the boxes that hold voxels; None where a grid of boxes does not pay."""
     if not len(xyz) or len(xyz) >= 1 << 24:
         return None
     low, high = xyz.min(axis=0).astype(np.float64), xyz.max(axis=0).astype(np.float64)
@@ -85,21 +94,22 @@ def _boxes(xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]
         # rounding may put a voxel one box too far; that is inside the bound
         place *= np.int32(n)
         place += np.minimum(((c - f4(lo)) * f4(1 / edge)).astype(np.int32), np.int32(n - 1))
-    size = np.bincount(place)
-    held = np.flatnonzero(size)
+    held = np.flatnonzero(np.bincount(place))
+    size = np.stack([np.bincount(place[a:b], minlength=held[-1] + 1)[held] for a, b in zip([0, *ends], ends)], axis=1)
     centres = low + (np.stack(np.unravel_index(held, shape), axis=1) + 0.5) * _BOX
     # 24 bits of a number up to the largest coordinate, three products and sums of them, here and in the pass itself
-    return centres.astype(np.float32), size[held].astype(np.float32), (_BOX / 2).astype(np.float32), float(np.abs([low, high]).max() * 2e-5 + 1e-6)
+    return centres.astype(np.float32), size.astype(np.float32), (_BOX / 2).astype(np.float32), float(np.abs([low, high]).max() * 2e-5 + 1e-6)
 
 
 def possible_inliers(planes: np.ndarray, xyz: np.ndarray, threshold: float) -> np.ndarray:
-    """For each plane at least as many voxels as lie on it: those of every box that it comes near."""
-    boxes = _boxes(xyz)
+    """For each plane and part of the voxels at least as many as lie on it: those of every box that it comes near."""
+    ends = _part_ends(len(xyz))
+    boxes = _boxes(xyz, ends)
     if boxes is None:
-        return np.full(len(planes), len(xyz), dtype=np.int64)
+        return np.tile(np.diff([0, *ends]), (len(planes), 1))
     centres, size, half, rounding = boxes
     reach = np.abs(planes[:, :3]) @ half + f4(threshold + rounding)
-    out = np.empty(len(planes), dtype=np.int64)
+    out = np.empty((len(planes), len(ends)), dtype=np.int64)
     for a in range(0, len(planes), 32):
         far = planes[a : a + 32, :3] @ centres.T
         far += planes[a : a + 32, 3:]
@@ -112,19 +122,24 @@ def most_inliers(planes: np.ndarray, xyz: np.ndarray, threshold: float) -> tuple
 
     Planes come in descending order of what boxes of voxels leave possible, until
     that is less than the best so far; then one plane after the other over blocks
-    that stay in cache, left as soon as the voxels still to come cannot lift it.
+    that stay in cache, left as soon as what is possible in those still to come
+    cannot lift it.
     """
     columns = np.ascontiguousarray(xyz.T)
     blocks = [tuple(np.ascontiguousarray(c[a : a + _RUN]) for c in columns) for a in range(0, len(xyz), _RUN)]
     out, term, near = np.empty(_RUN, np.float32), np.empty(_RUN, np.float32), np.empty(_RUN, bool)
     best, most, limit = -1, -1, f4(threshold)
-    possible = possible_inliers(planes, xyz, threshold)
-    for k in np.argsort(-possible, kind="stable"):
-        if possible[k] < most:
+    possible, ends = possible_inliers(planes, xyz, threshold), _part_ends(len(xyz))
+    whole = possible.sum(axis=1)
+    # the part that each block is in, and what is possible in the parts after each
+    part = np.searchsorted(ends, [min(a + _RUN, len(xyz)) for a in range(0, len(xyz), _RUN)])
+    later = np.flip(np.cumsum(np.flip(possible, axis=1), axis=1), axis=1) - possible
+    for k in np.argsort(-whole, kind="stable"):
+        if whole[k] < most:
             break
         a, b, c, d = planes[k]
-        total, left = 0, len(xyz)
-        for x, y, z in blocks:
+        total, seen = 0, 0
+        for i, (x, y, z) in zip(part, blocks):
             n = len(x)
             v, w, m = out[:n], term[:n], near[:n]
             np.multiply(x, a, out=v)
@@ -133,8 +148,9 @@ def most_inliers(planes: np.ndarray, xyz: np.ndarray, threshold: float) -> tuple
             v += d
             np.less(np.abs(v, out=v), limit, out=m)
             total += np.count_nonzero(m)
-            left -= n
-            if total + left < most:
+            seen += n
+            # the rest of this part counts in full, the parts after it by their boxes
+            if total + ends[i] - seen + later[k, i] < most:
                 break
         if total > most or (total == most and k < best):
             best, most = int(k), total

@@ -12,10 +12,23 @@ from ..params import PipelineParams
 
 
 def fnv1a_bytes(data: bytes) -> int:
-    h = FNV_BASIS
-    for b in data:
-        h = (h ^ b) * FNV_PRIME & 0xFFFFFFFF
-    return h
+    """FNV-1a without a step per byte.
+
+    The low byte of a state depends on low bytes alone, and each of its bits on a
+    running xor and on the bits below it: eight passes give them all.  An xor with
+    a byte is then a known addition, and the hash a polynomial in the prime.
+    """
+    b = np.frombuffer(data, dtype=np.uint8)
+    mixed = np.zeros(len(b), dtype=np.uint8)
+    for j in range(8):
+        bit = (b >> j) & 1
+        bit[1:] ^= ((mixed * np.uint8(FNV_PRIME & 0xFF)) >> j)[:-1] & 1
+        bit[:1] ^= FNV_BASIS >> j & 1
+        mixed |= np.bitwise_xor.accumulate(bit) << j
+    added = mixed.astype(np.int32) - (mixed ^ b)
+    powers = np.multiply.accumulate(np.full(len(b), FNV_PRIME, dtype=np.uint32), dtype=np.uint32)
+    first = FNV_BASIS * pow(FNV_PRIME, len(b), 1 << 32)
+    return (first + int((added.astype(np.uint32) * powers[::-1]).sum(dtype=np.uint32))) & 0xFFFFFFFF
 
 
 def key_hash(voxels: DataFrame) -> DataFrame:

@@ -20,26 +20,24 @@ def occupancy(flagged: DataFrame, p: PipelineParams) -> DataFrame:
 
 def label_grid(occupied: np.ndarray, gw: int, gh: int) -> np.ndarray:
     """Smallest cell reachable over eight neighbours, for each occupied cell (sorted ascending)."""
-    big = gw * gh
-    grid = np.full((gh + 2, gw + 2), big, dtype=np.int64)
+    place = np.full((gh + 2, gw + 2), -1, dtype=np.int64)
     y, x = occupied // gw + 1, occupied % gw + 1
-    lab = occupied.astype(np.int64)
-    place = np.zeros(big, dtype=np.int64)
-    place[occupied] = np.arange(len(occupied))
+    place[y, x] = np.arange(len(occupied))
+    # links to the neighbour on the right and the three below; places ascend as cells do
+    near = np.concatenate([place[y + dy, x + dx] for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    own = np.tile(np.arange(len(occupied)), 4)[near >= 0]
+    near = near[near >= 0]
+    root = np.arange(len(occupied))
     while True:
-        grid[y, x] = lab
-        low = lab.copy()
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                np.minimum(low, grid[y + dy, x + dx], out=low)
-        # the root of a label takes the smaller label too, then everyone follows its root
-        root = lab.copy()
-        np.minimum.at(root, place[lab], low)
-        new = root[place[np.minimum(low, root)]]
-        new = np.minimum(new, root)
-        if (new == lab).all():
-            return lab
-        lab = new
+        a, b = root[own], root[near]
+        apart = a != b
+        if not apart.any():
+            return occupied.astype(np.int64)[root]
+        own, near, a, b = own[apart], near[apart], a[apart], b[apart]
+        # the larger root takes the smaller one, then everyone follows to the end
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
 
 
 def connected_cells(occ: DataFrame, p: PipelineParams) -> DataFrame:

@@ -75,6 +75,30 @@ def test_sequences_and_hashes(spark):
     data = [0, 97, 255, 98]
     assert spark.range(1).select(sequences.fnv1a(F.array(*[F.lit(b) for b in data]))).first()[0] == fingerprints.fnv1a_bytes(bytes(data))
     assert fingerprints.fnv1a_bytes(b"a") == 0xE40C292C
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 300, 5000):
+        data, want = rng.integers(0, 256, n, dtype=np.uint8).tobytes(), sequences.FNV_BASIS
+        for b in data:
+            want = (want ^ b) * sequences.FNV_PRIME & sequences.MASK
+        assert fingerprints.fnv1a_bytes(data) == want
+
+
+@pytest.mark.parametrize("gw, gh", [(1, 1), (7, 5), (40, 30)])
+def test_label_grid_equals_search(gw, gh):
+    rng = np.random.default_rng(gw)
+    for share in (0, 0.2, 0.4, 0.6, 1):
+        occupied = np.flatnonzero(rng.random(gw * gh) < share)
+        want, left = {}, set(occupied.tolist())
+        for cell in occupied.tolist():
+            todo = [cell] if cell in left else []
+            left -= {cell}
+            while todo:
+                at = todo.pop()
+                want[at] = cell
+                near = {(at // gw + dy) * gw + at % gw + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1) if 0 <= at % gw + dx < gw} & left
+                left -= near
+                todo += near
+        assert grid.label_grid(occupied, gw, gh).tolist() == [want[c] for c in occupied.tolist()]
 
 
 def scan_cases():
@@ -291,7 +315,7 @@ def test_whole_frames_and_large_grids(spark, tmp_path):
     assert "Exchange" not in pipeline.summary_of_scans(contents, P)._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("n, spread, flat", [(1, 5, 1), (40, 0.5, 1), (3000, 40, 0.02), (3000, 5, 1), (500, 1e4, 1)])
+@pytest.mark.parametrize("n, spread, flat", [(1, 5, 1), (40, 0.5, 1), (3000, 40, 0.02), (3000, 5, 1), (500, 1e4, 1), (40_000, 20, 0.02)])
 def test_bounded_plane_search_equals_counting_all(n, spread, flat):
     rng = np.random.default_rng(n)
     xyz = (rng.normal(0, spread, (n, 3)) * [1, 1, flat]).astype(np.float32)
@@ -301,5 +325,5 @@ def test_bounded_plane_search_equals_counting_all(n, spread, flat):
         if not len(planes):
             continue
         counts = detect.count_inliers(planes, points, 0.2)
-        assert (detect.possible_inliers(planes, points, 0.2) >= counts).all()
+        assert (detect.possible_inliers(planes, points, 0.2).sum(axis=1) >= counts).all()
         assert detect.most_inliers(planes, points, 0.2) == (int(counts.argmax()), int(counts.max()))
